@@ -10,15 +10,18 @@ from __future__ import annotations
 import functools
 import json
 import re
+import struct
 
 import numpy as np
 from tokenizers import Tokenizer
 
-#: Words that a worker remembers; beyond it the memo starts anew. Longer words are never remembered.
-MEMO_WORDS, MEMO_CHARS = 300_000, 48
-#: Normalisers that treat a text as they treat its words, and the alternatives of a piece.
+#: Words that a worker remembers; beyond it those that came up again stay. Longer words are never remembered.
+MEMO_WORDS, MEMO_CHARS = 1_000_000, 64
+#: Normalisers that treat a text as they treat its words, and the alternatives of a piece,
+#: as they are for lower-case ASCII and in full.
 BY_WORD = {"NFC", "Lowercase"}
-PIECES = {"'s", "'t", "'re", "'ve", "'m", "'ll", "'d", r"[\p{L}]+", r"[\p{N}]", r"[^\s\p{L}\p{N}]+"}
+PIECES_ASCII = ["'s", "'t", "'re", "'ve", "'m", "'ll", "'d", "[a-z]+", "[0-9]", "[^ a-z0-9]+"]
+PIECES = ["'s", "'t", "'re", "'ve", "'m", "'ll", "'d", r"[\p{L}]+", r"[\p{N}]", r"[^\s\p{L}\p{N}]+"]
 
 
 def spaced(spec: dict) -> bool:
@@ -36,7 +39,28 @@ def spaced(spec: dict) -> bool:
         return False
     if any(re.search(r"\s", t["content"]) or t["lstrip"] or t["rstrip"] or t["single_word"] for t in spec.get("added_tokens", [])):
         return False
-    return set(first["pattern"].get("Regex", " ").split("|")) <= PIECES
+    if not any(s["type"] == "Lowercase" for s in steps):
+        return False
+    return first["pattern"].get("Regex") == "|".join(PIECES)
+
+
+class Memo(dict):
+    """Ids of words as bytes; a word that isn't held is encoded. Pieces of ASCII words go to the library's model."""
+
+    def __init__(self, library: Tokenizer, held: dict | tuple = ()):
+        super().__init__(held)
+        self.library, self.one = library, library.model.tokenize
+        self.pieces = re.compile("|".join(PIECES_ASCII)).findall
+
+    def __missing__(self, word: str) -> bytes:
+        if word.isascii() and word.isprintable() and "<|" not in word:
+            ids = [t.id for p in self.pieces(word.lower()) for t in self.one(p)]
+        else:
+            ids = self.library.encode(word, add_special_tokens=False).ids
+        told = struct.pack(f"<{len(ids)}I", *ids)
+        if len(word) <= MEMO_CHARS:
+            self[word] = told
+        return told
 
 
 class WordEncoder:
@@ -47,31 +71,18 @@ class WordEncoder:
         self.library.no_truncation()
         self.library.no_padding()
         self.by_word = spaced(json.loads(spec))
-        self.memo: dict[str, bytes] = {}
-
-    def _library(self, texts: list[str]) -> list[bytes]:
-        out = []
-        for k in range(0, len(texts), 4096):
-            out += [np.asarray(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts[k : k + 4096], add_special_tokens=False)]
-        return out
+        self.memo = Memo(self.library)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         if not self.by_word:
-            return self._library(texts)
-        memo = self.memo
-        words = [t.replace("\n", " ").split(" ") for t in texts]
-        new = list(set().union(*words).difference(memo))
-        long = [w for w in new if len(w) > MEMO_CHARS]
-        new = [w for w in new if len(w) <= MEMO_CHARS]
-        if len(memo) + len(new) > MEMO_WORDS:
-            memo.clear()
-            new = [w for w in set().union(*words) if len(w) <= MEMO_CHARS]
-        memo.update(zip(new, self._library(new)))
-        if not long:
-            return [b"".join(map(memo.__getitem__, w)) for w in words]
-        once = dict(zip(long, self._library(long)))
-        return [b"".join([memo[x] if x in memo else once[x] for x in w]) for w in words]
+            return [np.asarray(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        # ASCII letters may be lowered first where no added token can be meant: the vocabulary lowers them anyway
+        words = [(t.lower() if t.isascii() and "<|" not in t else t).replace("\n", " ").split(" ") for t in texts]
+        if len(self.memo) > MEMO_WORDS:  # what came up again stays
+            self.memo = Memo(self.library, {w: self.memo[w] for w in set().union(*words) if w in self.memo})
+        ids = self.memo.__getitem__
+        return [b"".join(map(ids, w)) for w in words]
 
 
 @functools.cache
