@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, fm_index, media, plane_store, simhash, token_counts
+from . import byte_bpe, fm_index, line_templates, media, plane_store, ppm, simhash, token_counts
 
 BYTE_RANKS = "byte_bpe_multi_50k.tiktoken"
 WORDS = "word_bpe_49k.json"
@@ -42,6 +42,11 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 2048).alias("over_limit"))
 
 
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return ppm.identify(docs, ppm.learn(docs))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = fm_index.scan(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), keep=["doc_id"]).select("doc_id", "found.*")
     hit = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + s["end"] - s["start"])
@@ -51,5 +56,10 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op3_byte_bpe, op4_bit_planes, op6_media, op7_token_counts, op9_decontamination)}
-ORACLE: dict[str, str] = {}
+def op10_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_templates.without_templates(docs, counts=True)
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash, op3_byte_bpe, op4_bit_planes, op6_media, op7_token_counts, op8_language, op9_decontamination, op10_line_templates)}
+ORACLE = {"op10_line_templates": line_templates.SQL}
