@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, fm_index, line_templates, media, plane_store, ppm, simhash, token_counts
+from . import byte_bpe, fm_index, html_text, line_templates, media, plane_store, ppm, simhash, token_counts
 
 BYTE_RANKS = "byte_bpe_multi_50k.tiktoken"
 WORDS = "word_bpe_49k.json"
@@ -21,6 +21,10 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(_table(spark, sf_dir, "pages"))
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     coded = byte_bpe.encode_documents(docs, public_tokenizers.path(BYTE_RANKS), public_tokenizers.PATTERN, decoded=True)
@@ -61,5 +65,5 @@ def op10_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_templates.without_templates(docs, counts=True)
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op3_byte_bpe, op4_bit_planes, op6_media, op7_token_counts, op8_language, op9_decontamination, op10_line_templates)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_html_text, op3_byte_bpe, op4_bit_planes, op6_media, op7_token_counts, op8_language, op9_decontamination, op10_line_templates)}
 ORACLE = {"op10_line_templates": line_templates.SQL}

@@ -1,0 +1,59 @@
+"""Extraction from planted pages, and paths that hosts agree on."""
+
+from marlstone.llm import html_text
+
+
+def text(page, paths=()):
+    return html_text.text_of(*html_text.parse(page), list(paths))
+
+
+BODY = "<p>First &amp; second&nbsp;line<br>goes\n on.</p><p><b>Unclosed <i>bold</i> words.<br><p>Third &#233;&copy</p>"
+PLAIN = "First & second line goes on.\nUnclosed bold words.\nThird é©"
+
+
+def page(body, head="<title>T &lt;p&gt;</title><script>var a='</p>';if(a<b){}</script><style>p{}</style>"):
+    return f"<!DOCTYPE html><html lang=en><head><meta charset=utf-8>{head}</head><body><nav><ul><li><a href=/x>Menu</a></li></ul></nav><!-- ad > --><div class='ad'>Buy <p>now</p></div>{body}<footer>&copy; us</footer></body></html>"
+
+
+def test_blocks_and_noise():
+    noise = "<aside>side</aside><form><p>Name<input name=x></p><button>Go</button></form><div class='cookie-notice'>We use <div>cookies</div></div><section id=comments><article class=comment><p>I agree with that very long comment indeed</p></article></section><div role=navigation>x</div><div hidden>y</div><p style='display: none'>z</p><noscript>n</noscript><p class=advert>unclosed advert<p>After it.</p>"
+    assert text(page(f"<article><h1>Head</h1>{BODY}{noise}</article>")) == f"Head\n{PLAIN}\nAfter it."
+    assert text(page(f"<article><header><h1>Head</h1><p>by me</p></header>{BODY}</article>")) == f"Head\n{PLAIN}"
+    assert text(page(f"<header><h1>Site</h1></header><div class='content has-sidebar'><div class=sidebar>links</div><h1>Head</h1>{BODY}</div>")) == f"Head\n{PLAIN}"
+    assert text(page(f"<article><h1>Head</h1>{BODY}</article>").split("</article>")[0]) == f"Head\n{PLAIN}"  # cut short
+    assert text(page("<main><table><tr><td>a<td>b</tr></table><ul><li>one<li>two</ul><pre> x\n  y </pre>tail</main>")) == "a\nb\none\ntwo\nx y\ntail"
+    assert text("") == "" and text("<") == "<" and text("a < b <b") == "a < b" and text("no markup at all &am") == "no markup at all &am"
+    assert text("<p>" * 10_000 + "deep") == "deep"
+    assert text("<div>" * 3000 + "deep" + "</div>" * 3000) == "deep"
+    assert text("<article><p>" + "long " * 300_000 + "</p></article>") == " ".join(["long"] * 300_000)
+    assert text('<article><p title="a > b">x</p><p title="broken>y</p></article>').startswith("x")
+
+
+def test_consensus_over_a_host(spark):
+    usual = page(f"<div class='wrap-12'><div class='box'><p>{'Box text that every page has in plenty. ' * 3}</p></div><div class='story-1'><h1>Head</h1>{BODY * 20}</div></div>")
+    odd = page(f"<div class='wrap-7'><div class='box'><p>{'A box that is far larger than the story on this page. ' * 40}</p></div><div class='story-2'><p>Short.</p></div></div>")
+    rows = [(i, f"http://A.example/{i}", usual, "clash") for i in range(5)] + [(7, "https://u@a.example:80/odd", odd, "clash"), (8, None, None, "c"), (9, "x", "", "c"), (9, "x", "", "c"), (None, "http://b.example", "<p>only</p>", "c")]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string, host string")
+    paths = {r.host: r.paths for r in html_text.winning_paths(pages).collect()}
+    assert set(paths) == {"a.example"}
+    assert paths["a.example"][0] == ">html>body>div.wrap>div.story" and len(paths["a.example"]) == 2
+    got = html_text.extract(pages).collect()
+    by = {r.page_id: r for r in got}
+    assert len(got) == len(rows) and by[7].text == "Short."  # alone, the page would give its box
+    assert by[0].text.startswith("Head\nFirst & second") and "Box" not in by[0].text
+    assert by[8].text == by[9].text == "" and by[8].n_chars == 0 and by[None].text == "only"
+    assert all(r.n_chars == len(r.text) for r in got)
+    assert html_text.extract(pages.limit(0)).count() == 0
+
+
+def test_given_pages(spark):
+    """The article's own paragraphs by a plain pattern."""
+    import html
+    import re
+
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    got = {r.page_id: r.text for r in html_text.extract(pages).collect()}
+    for r in pages.collect():
+        inner = re.search(r"<article>(.*?)(</article>|<footer>|$)", r.html, re.S)[1]
+        blocks = [" ".join(html.unescape(re.sub(r"<[^>]*>", "", b.replace("<br>", " "))).split()) for b in re.split(r"</?(?:p|h1)>", inner)]
+        assert got[r.page_id] == "\n".join(filter(None, blocks)), r.page_id
