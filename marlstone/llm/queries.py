@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, fm_index, html_text, line_templates, media, plane_store, ppm, simhash, token_counts
+from . import byte_bpe, cotraining, fm_index, html_text, line_templates, media, plane_store, ppm, simhash, token_counts
 
 BYTE_RANKS = "byte_bpe_multi_50k.tiktoken"
 WORDS = "word_bpe_49k.json"
@@ -37,6 +37,11 @@ def op4_bit_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("doc_id", "start", (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"), F.col("crc32").alias("ids_crc32"))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return cotraining.score(docs, cotraining.fit(docs, _table(spark, sf_dir, "labels")))
+
+
 def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.features(media.store_texts(_table(spark, sf_dir, "documents")))
 
@@ -65,5 +70,5 @@ def op10_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_templates.without_templates(docs, counts=True)
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_html_text, op3_byte_bpe, op4_bit_planes, op6_media, op7_token_counts, op8_language, op9_decontamination, op10_line_templates)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_html_text, op3_byte_bpe, op4_bit_planes, op5_quality, op6_media, op7_token_counts, op8_language, op9_decontamination, op10_line_templates)}
 ORACLE = {"op10_line_templates": line_templates.SQL}
