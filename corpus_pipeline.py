@@ -1,4 +1,51 @@
-"""A corpus pipeline of five stages."""
+"""A corpus pipeline of five stages, each of which calls an operator of marlstone.llm.
 
-STAGES: list = []
+Every stage is written as Parquet to the folder that the cluster shares and read again as the next one's documents.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+
+from marlstone.llm import byte_bpe, cotraining, fm_index, line_templates, simhash
+from marlstone.llm.common import written
+from marlstone.llm.queries import BYTE_RANKS
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go."""
+    return cotraining.kept(docs, cotraining.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines of templates that recur across documents go from all but the first."""
+    return line_templates.without_templates(docs)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays: words in fives, similarity 0.8 or more."""
+    return simhash.one_of_each(docs, size=5, similarity=0.8)
+
+
+def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with two benchmark items or more go; the others lose the words of theirs."""
+    return fm_index.decontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens and ids (little-endian unsigned 32-bit integers)."""
+    return byte_bpe.encode_documents(docs, public_tokenizers.path(BYTE_RANKS), public_tokenizers.PATTERN)
+
+
+STAGES = [("quality", quality), ("lines", lines), ("near_copies", near_copies), ("benchmark", benchmark), ("tokens", tokens)]
+
+#: A trained classifier, fingerprints and byte-pair merges are beyond SQL.
 ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+    return docs

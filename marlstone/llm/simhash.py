@@ -27,6 +27,8 @@ from .common import plain_text, sliced, written
 from .components import components, forest
 
 SEED, BITS = 42, 64
+#: near_copies: bits that candidates may differ in, seeds of their fingerprints, numbers in a sketch of shingles.
+NEAR_BITS, NEAR_SEEDS, SKETCH = 6, (42, 43), 256
 #: Shingles counted at once; children of a node; rows of a top node beyond which it is split; node pairs at once.
 STEP, FAN, HOT, PAIRS = 1 << 16, 16, 20_000, 8192
 #: Rows of the index that a worker holds, unless one top node has more.
@@ -231,3 +233,81 @@ def near_duplicates(docs: DataFrame, size: int = 3, radius: int = 2, key: str =
     ids = placed.groupBy("root").agg(F.min("least").alias("component_id"))
     by_fp = placed.join(ids, "root").select("fp", "component_id")
     return own.join(by_fp, "fp").select(key, "fp", "component_id")
+
+
+def sketched(text: str, size: int) -> tuple[bytes, list[int], bytes]:
+    """A digest of the words, fingerprints of the set of words by NEAR_SEEDS, and the SKETCH least hashes of shingles."""
+    words = words_of(text)
+    one = xxhash.xxh3_128_digest(b" ".join(words))
+    distinct = set(words)
+    fps = []
+    for seed in NEAR_SEEDS:
+        h = np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in distinct), np.uint64, len(distinct))
+        seen = sum((np.unpackbits(h[k : k + STEP].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64) for k in range(0, len(h), STEP)), np.zeros(BITS, np.int64))
+        fps.append(int(np.packbits(2 * seen > len(h), bitorder="little").view("<i8")[0]))
+    h = np.unique(np.fromiter(map(xxhash.xxh32_intdigest, shingles(words, size)), np.uint32))
+    return one, fps, h[:SKETCH].tobytes()
+
+
+def alike(a: bytes, b: bytes) -> float:
+    """The share of shingles in common, from two sketches; exact if both hold all."""
+    x, y = np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)
+    if not len(x) or not len(y):
+        return float(len(x) == len(y))
+    both = np.unique(np.r_[x, y])
+    if max(len(x), len(y)) == SKETCH:
+        both = both[:SKETCH]
+    return np.isin(both, x, assume_unique=True)[np.isin(both, y, assume_unique=True)].sum() / len(both)
+
+
+def near_copies(docs: DataFrame, size: int = 5, similarity: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key and component_id of each document: groups of texts that share `similarity` of their shingles.
+
+    At that similarity the fingerprints of shingles differ in ten bits or so, which no index can search; those of
+    the sets of words differ in few. So the index finds candidates by two fingerprints of word sets, and a candidate
+    edge stays if the sketches of the shingles agree. The index gives a forest for each top node, nearest first, so
+    every text has edges to several others. Equal words are one text.
+    """
+    source = plain_text(docs, key, text=text)
+    kind = source.schema[key].dataType.simpleString()
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, 1):
+            told = [sketched(t, size) for t in batch.column(1).to_pylist()]
+            one = np.frombuffer(b"".join(d for d, _, _ in told), np.int64).reshape(-1, 2)[:, 0]
+            fps = [pa.array([f[k] for _, f, _ in told], pa.int64()) for k in range(len(NEAR_SEEDS))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.ascontiguousarray(one)), *fps, pa.array([s for _, _, s in told], pa.binary())], [key, "node", *(f"fp{k}" for k in range(len(NEAR_SEEDS))), "sketch"])
+
+    seeds = range(len(NEAR_SEEDS))
+    own = written(source.mapInArrow(make, f"`{key}` {kind}, node bigint, {', '.join(f'fp{k} bigint' for k in seeds)}, sketch binary"), "sketches")
+    nodes = written(own.groupBy("node").agg(F.min(key).alias("least"), *[F.min(f"fp{k}").alias(f"fp{k}") for k in seeds]), "nodes")
+    found = None
+    for k in seeds:
+        more = links(nodes.select("node", F.col(f"fp{k}").alias("fp")), NEAR_BITS, shared=2).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        found = more if found is None else found.union(more)
+    found = written(found.distinct(), "candidates")
+    ends = found.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    sketches = written(own.select("node", "sketch").join(ends, "node", "left_semi").dropDuplicates(["node"]), "ends")
+    pairs = found.join(sketches.toDF("a", "x"), "a").join(sketches.toDF("b", "y"), "b")
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, 2):
+            good = [alike(x, y) >= similarity for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(good))
+
+    roots = components(pairs.select("a", "b", "x", "y").mapInArrow(verify, "a bigint, b bigint"))
+    placed = written(nodes.select("node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "placed")
+    ids = placed.groupBy("root").agg(F.min("least").alias("component_id"))
+    return own.select(key, "node").join(placed.join(ids, "root").select("node", "component_id"), "node").select(key, "component_id")
+
+
+def one_of_each(docs: DataFrame, size: int = 5, similarity: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One document of each group: the least key's, and one row of those that repeat it.
+
+    Groups of null keys alone keep one document in all.
+    """
+    groups = written(near_copies(docs, size, similarity, key, text), "groups")
+    first = groups.where(F.col(key) == F.col("component_id")).select(F.col(key).alias("__first")).distinct()
+    unknown = groups.where("component_id is null").limit(1).select(F.col(key).alias("__first"))
+    kept = docs.join(first.union(unknown), F.col(f"`{key}`").eqNullSafe(F.col("__first")), "left_semi")
+    return kept.dropDuplicates([key])
