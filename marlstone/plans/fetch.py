@@ -138,7 +138,8 @@ class Planner:
         if limit is not None:
             df = (df.offset(offset) if offset else df).limit(limit)
         stored = df.columns
-        df = self.expand(df, entity, tree, window, report)
+        # rows that a filter alone has chosen can be asked for twice: once to say which children are needed
+        df = self.expand(df, entity, tree, window, report, narrow=own is not None and rest is None and limit is None)
         if tree and keys:
             df = df.orderBy(*keys)
         if columns is not None:
@@ -171,7 +172,9 @@ class Planner:
 
         return wide.where(P.compile_filter(node, find, null_safe=True)).drop(*names.values())
 
-    def expand(self, df: DataFrame, entity: Entity, tree: dict[str, dict], window: tuple | None, report: PlanReport, names: dict[str, str] | None = None) -> DataFrame:
+    def expand(self, df: DataFrame, entity: Entity, tree: dict[str, dict], window: tuple | None, report: PlanReport, names: dict[str, str] | None = None, narrow: bool = False) -> DataFrame:
+        """narrow: df's rows are few, so children are cut down to theirs before they are grouped."""
+        rows = df
         for name, below in tree.items():
             f, column = entity[name], (names or {}).get(name, name)
             report.joined.append(f"{entity.name}.{name}")
@@ -179,7 +182,9 @@ class Planner:
                 df = self._with_series(df, entity, f, column, window)
                 report.scans += 1
                 continue
-            other = self.target(f.type, below, window, report)
+            # not below an abstract type, where an id's last type must be found among all rows
+            cut = narrow and f.kind == "collection" and not self.model[f.type].abstract
+            other = self.target(f.type, below, window, report, (f.keys[0], rows.select(F.col(f"`{f.keys[1]}`").alias("__needed"))) if cut else None)
             key, value = f"__key_{column}", F.struct(*[F.col(f"`{c}`") for c in other.columns])
             if f.kind == "reference":
                 right = other.select(F.col("id").alias(key), value.alias(column))
@@ -194,13 +199,19 @@ class Planner:
                 df = df.withColumn(column, F.coalesce(F.col(f"`{column}`"), empty))
         return df
 
-    def target(self, name: str, tree: dict[str, dict], window: tuple | None, report: PlanReport) -> DataFrame:
-        """All rows of a type, with what lies below; of an abstract type, those of its concrete ones and their name."""
+    def target(self, name: str, tree: dict[str, dict], window: tuple | None, report: PlanReport, needed: tuple[str, DataFrame] | None = None) -> DataFrame:
+        """All rows of a type, with what lies below; of an abstract type, those of its concrete ones and their name.
+
+        needed: a field and the values of it that are asked for.
+        """
         subs = self.model.concrete_of(name)
         if not subs:
             raise QueryError(f"no concrete type is a {name}")
         report.scans += len(subs)
-        frames = [self.expand(self.store.logical(e, self.store.raw(e)), e, tree, window, report) for e in subs]
+        frames = [self.store.logical(e, self.store.raw(e)) for e in subs]
+        if needed is not None:
+            frames = [df.join(needed[1], df[f"`{needed[0]}`"] == needed[1]["__needed"], "left_semi") for df in frames]
+        frames = [self.expand(df, e, tree, window, report, narrow=needed is not None) for e, df in zip(subs, frames)]
         if not self.model[name].abstract:
             return frames[0]
         kinds: dict[str, T.DataType] = {}

@@ -1,36 +1,6 @@
 import pytest
 from pyspark.sql import SparkSession
-
-from marlstone import connect
-
-TINY = """
-mixin type Versioned { id: string, version: int = 1 }
-@db(index="region")
-entity type Site mixes Versioned {
-  name: string
-  region: string
-  turbines: [Turbine](siteId, id)
-}
-@db(unique="serial", index="status")
-entity type Turbine mixes Versioned schema name "WTG" {
-  siteId: string
-  serial: string schema name "SERIAL_NO"
-  status: string = "UNKNOWN"
-  ratedPowerKw: double schema name "RATED_KW"
-  site: Site(siteId)
-  sensors: [Sensor](turbineId, id)
-}
-@db(index="turbineId")
-entity type Sensor mixes Versioned {
-  turbineId: string
-  channel: string
-  turbine: Turbine(turbineId)
-  readings: timeseries<double>(id)
-}
-"""
-SITES = [("s1", "Alpha", "north", 1), ("s2", "Bravo", "south", 1), ("s3", "Cielo", "north", 2)]
-TURBINES = [("t1", "s1", "A-1", "ACTIVE", 3000.0), ("t2", "s1", "A-2", "DERATED", 2200.0), ("t3", "s2", "B-1", "ACTIVE", 4100.0), ("t4", "s2", "B-2", "OFFLINE", 4100.0), ("t5", "s3", "C-1", "ACTIVE", 1800.0)]
-SENSORS = [("t1-temp", "t1", "temp"), ("t1-vib", "t1", "vib"), ("t3-temp", "t3", "temp")]
+from tiny_model import filled
 
 
 @pytest.fixture(scope="session")
@@ -40,14 +10,6 @@ def spark():
     return s
 
 
-def filled(spark, path, **more):
-    ses = connect(spark, TINY, f"file://{path}", **more)
-    ses["Site"].create([dict(zip(("id", "name", "region", "version"), r)) for r in SITES])
-    ses["Turbine"].create([dict(zip(("id", "siteId", "serial", "status", "ratedPowerKw"), r)) for r in TURBINES])
-    ses["Sensor"].create([dict(zip(("id", "turbineId", "channel"), r)) for r in SENSORS])
-    return ses
-
-
 @pytest.fixture(scope="session")
 def tiny(spark, tmp_path_factory):
     """Read only."""

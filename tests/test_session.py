@@ -1,7 +1,7 @@
 """Requests, aggregates and series over the tiny model."""
 
 import pytest
-from conftest import filled
+from tiny_model import filled
 
 from marlstone import QueryError, StoreError
 

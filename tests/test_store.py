@@ -1,7 +1,7 @@
 """Writes as all-or-nothing batches, and changes of model over stored rows."""
 
 import pytest
-from conftest import TINY, filled
+from tiny_model import TINY, filled
 
 from marlstone import EvolutionError, StoreError, connect, load
 from marlstone.operators.evolve import diff

@@ -1,6 +1,6 @@
 """A stream of files into a series, and windowed sums."""
 
-from conftest import filled
+from tiny_model import filled
 
 from marlstone.streaming.ingest import ingest, windowed
 
