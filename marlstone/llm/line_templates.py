@@ -17,31 +17,43 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import written
+
 LEADING, FIELDS, LEAST, MIN_DOCS = 3, 4, 3, 3
 
 
-def _templates(line: Column) -> Column:
-    """Hashes of the templates of a line: as it is and, if long enough, with each field variable."""
-    tokens = F.split(F.regexp_replace(line, "[0-9]+", "0"), " ")
+def _templates(text: Column) -> Column:
+    """For each line, hashes (h, g) of its templates: as it is and, if long enough, with each field variable.
+
+    Every step is a transform of its own, so that what it gives is computed once and not once for each use.
+    """
+    lines = F.transform(F.split(F.regexp_replace(text, "[0-9]+", "0"), "\n"), lambda line: F.split(line, " "))
+
+    def node(w: Column) -> Column:
+        n = F.size(w)
+        bound = [F.lit(LEADING), *[(LEADING + F.floor((n - LEADING) * k / FIELDS)).cast("int") for k in range(1, FIELDS)], n]
+        fields = [F.xxhash64(F.slice(w, bound[k] + 1, bound[k + 1] - bound[k])).alias(f"f{k}") for k in range(FIELDS)]
+        long = F.struct(n.alias("n"), F.xxhash64(n, F.slice(w, 1, LEADING)).alias("top"), *fields)
+        none = [F.lit(0).cast("bigint").alias(f"f{k}") for k in range(2, FIELDS)]
+        short = F.struct(n.alias("n"), n.cast("bigint").alias("top"), F.xxhash64(w).alias("f0"), F.xxhash64(F.lit(-2), w).alias("f1"), *none)
+        return F.when(n < LEADING + 2 * FIELDS, short).otherwise(long)
+
+    def templates(t: Column) -> Column:
+        def of(mark: int, parts: list[Column]) -> Column:
+            return F.struct(F.xxhash64(F.lit(mark), t["top"], *parts).alias("h"), F.xxhash64(*parts, t["top"], F.lit(mark)).alias("g"))
 
-    def of(tokens: Column) -> Column:
-        n = F.size(tokens)
-        body = n - LEADING
-        bound = [(F.lit(LEADING) + F.floor(body * k / FIELDS)).cast("int") for k in range(FIELDS + 1)]
-        node = F.struct(n.alias("n"), F.slice(tokens, 1, LEADING).alias("lead"))
-        parts = [F.xxhash64(F.slice(tokens, bound[k] + 1, bound[k + 1] - bound[k])) for k in range(FIELDS)]
-        whole = F.struct(F.xxhash64(node, F.lit(-1), *parts).alias("h"), F.xxhash64(F.lit(-1), *parts, node).alias("g"))
-        open_ = [F.struct(F.xxhash64(node, F.lit(k), *(p for j, p in enumerate(parts) if j != k)).alias("h"), F.xxhash64(F.lit(k), *(p for j, p in enumerate(parts) if j != k), node).alias("g")) for k in range(FIELDS)]
-        plain = F.array(F.struct(F.xxhash64(F.lit(-2), tokens).alias("h"), F.xxhash64(tokens, F.lit(-2)).alias("g")))
-        return F.when(n < LEAST, F.slice(plain, 1, 0)).when(body < 2 * FIELDS, plain).otherwise(F.array(whole, *open_))
+        fields = [t[f"f{k}"] for k in range(FIELDS)]
+        whole = F.array(of(-1, fields))
+        open_ = F.array(of(-1, fields), *[of(k, fields[:k] + fields[k + 1 :]) for k in range(FIELDS)])
+        return F.when(t["n"] < LEAST, F.slice(whole, 1, 0)).when(t["n"] < LEADING + 2 * FIELDS, whole).otherwise(open_)
 
-    return F.transform(F.array(tokens), of)[0]
+    return F.transform(F.transform(lines, node), templates)
 
 
 def dropped_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_docs: int = MIN_DOCS) -> DataFrame:
     """id, digest (of the text) and the positions of the lines to drop, for documents that have any."""
-    rows = docs.where(F.col(f"`{text}`").isNotNull()).select(F.col(f"`{key}`").alias("id"), F.xxhash64(f"`{text}`").alias("digest"), F.split(f"`{text}`", "\n").alias("lines"))
-    told = rows.select("id", "digest", F.transform("lines", lambda x: _templates(x)).alias("t"))
+    rows = docs.where(F.col(f"`{text}`").isNotNull())
+    told = written(rows.select(F.col(f"`{key}`").alias("id"), F.xxhash64(f"`{text}`").alias("digest"), _templates(F.col(f"`{text}`")).alias("t")), "templates")
     seen = told.select("id", F.explode(F.array_distinct(F.flatten("t"))).alias("t")).select("id", "t.*")
     common = seen.groupBy("h", "g").agg(F.count("*").alias("n"), F.min("id").alias("first")).where(F.col("n") >= min_docs).select("h", "g", "first")
     places = told.select("id", "digest", F.posexplode("t").alias("pos", "t")).select("id", "digest", "pos", F.explode("t").alias("t")).select("id", "digest", "pos", "t.*")
