@@ -5,7 +5,7 @@ page (language, source, size, layout). Each round, each view scores every docume
 confident ones of either class are pseudo-labels for the other view. Both views are then calibrated on labelled
 documents that neither learned from, and a third logistic function of the two calibrated log odds scores all.
 
-Bounds of the fit: at most MAX_LABELLED labelled documents (drawn by a hash of the id; every fourth calibrates) and
+Bounds of the fit: about MAX_LABELLED labelled documents at most (drawn by a hash of the id; every fourth calibrates) and
 MOST_CONFIDENT pseudo-labels for each view, class and round, sought among all documents.
 
 Null text is empty text, other nulls are values of their own. Labels of one document are averaged; a half is good.
@@ -160,9 +160,13 @@ def confident(unlabelled: DataFrame, weights: list[np.ndarray], most: int) -> li
 def fit(docs: DataFrame, labels: DataFrame, columns: Columns = Columns(), label: str = "quality", max_labelled: int = MAX_LABELLED, most: int = MOST_CONFIDENT, rounds: int = ROUNDS) -> Model:
     told = labels.where(F.col(f"`{label}`").isNotNull()).groupBy(F.col(f"`{columns.key}`").alias("key")).agg(F.avg((F.col(f"`{label}`") > 0).cast("int")).alias("y"))
     views = features(docs, columns)
-    hashed = F.xxhash64("key", F.lit("labelled"))
-    known = views.join(told, "key").withColumn("h", hashed)
-    rows = known.orderBy("h", "x0", "x1").limit(max_labelled).collect()
+    # drawn by a hash, so that no task sends more than its share to the driver
+    told = written(told, "labels")
+    share = min(1.0, max_labelled / max(1, told.count()))
+    # one shuffle of the views by key, whatever the size of the labels; the rounds then only read
+    views = written(views.join(told.hint("shuffle_hash"), "key", "left"), "labelled")
+    known = views.where("y is not null").withColumn("h", F.pmod(F.xxhash64("key", F.lit("labelled")), F.lit(1 << 40)))
+    rows = known.where(F.col("h") < share * (1 << 40)).orderBy("h", "x0", "x1").collect()
     y = np.array([float(r["y"] >= 0.5) for r in rows])
     prior = float(y.mean()) if len(y) else 1.0
     if len(y) < 8 or y.min() == y.max():
@@ -173,7 +177,7 @@ def fit(docs: DataFrame, labels: DataFrame, columns: Columns = Columns(), label:
     x = [_matrix([r[f"x{v}"] for r in rows], v) for v in (0, 1)]
     train = [(x[v][~held], y[~held]) for v in (0, 1)]
     weights = [logistic(*train[v]) for v in (0, 1)]
-    unlabelled = views.join(told.select("key"), "key", "left_anti")
+    unlabelled = views.where("y is null").select("key", "x0", "x1")
     for _ in range(rounds):
         for v, more in enumerate(confident(unlabelled, weights, most)):  # what a view is sure of teaches the other
             if more:
