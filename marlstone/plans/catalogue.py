@@ -319,6 +319,37 @@ def codec_roundtrip(s):
     return segments.mapInArrow(_decoded, "key string, ts bigint, value double, seq bigint").select("key", "ts", "value")
 
 
+@query(f"SELECT CAST(user_id AS VARCHAR) AS key, CAST(floor(epoch(ts)) AS BIGINT) AS ts, value FROM events WHERE {_IN_WINDOW}")
+def series_sealed_window(s):
+    # segments are found by their least and greatest time before any is decoded
+    segments = encode_segments(_as_points(s), 64).where((F.col("max_ts") >= _WINDOW[0]) & (F.col("min_ts") <= _WINDOW[1]))
+    points = segments.select("key", "first_seq", "blob").mapInArrow(_decoded, "key string, ts bigint, value double, seq bigint")
+    return points.where(F.col("ts").between(*_WINDOW)).select("key", "ts", "value")
+
+
+def _appended(s: Session) -> Session:
+    """The events as a series of one's own, appended in two batches; the first one is sealed."""
+    own = connect(s.spark, "entity type Meter { id: long, power: timeseries<double>(id) }", segment_points=64)
+    events = s["Customer"].series("activity")
+    half = T0 + 15 * 86400
+    for part in (events.where(F.col("ts") < half), events.where(F.col("ts") >= half)):
+        own["Meter"].append_series("power", rows=part.repartition("key").sortWithinPartitions("key", "ts"))
+        if not own.series.segments().take(1):
+            own.flush()
+    return own
+
+
+@query("SELECT user_id AS key, CAST(floor(epoch(ts)) AS BIGINT) AS ts, value FROM events")
+def series_append(s):
+    return _appended(s)["Meter"].series("power")
+
+
+@query("SELECT count(DISTINCT user_id) AS series, count(*) AS points, 16 * count(*) AS raw_bytes FROM events")
+def series_stats(s):
+    told = _appended(s).stats()["series"]
+    return s.spark.createDataFrame([(told["series"], told["points"], told["raw_bytes"])], "series bigint, points bigint, raw_bytes bigint")
+
+
 # S: writes, as the rows that a verb leaves
 def _customers(s: Session) -> tuple:
     e = s.model["Customer"]

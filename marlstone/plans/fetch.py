@@ -11,7 +11,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -36,6 +36,15 @@ class PlanReport:
     limit_below_joins: bool = False
     joined: list[str] = field(default_factory=list)
     scans: int = 1
+    observed: dict[str, Observation] = field(default_factory=dict)
+
+    def counts(self) -> dict[str, int]:
+        """Rows of the root and of the result, once the result has been computed; only for observed requests."""
+        return {k: o.get["rows"] for k, o in self.observed.items()}
+
+    def watch(self, name: str, df: DataFrame) -> DataFrame:
+        self.observed[name] = Observation()
+        return df.observe(self.observed[name], F.count(F.lit(1)).alias("rows"))
 
 
 def include_tree(include: list[str] | None) -> dict[str, dict]:
@@ -117,7 +126,8 @@ class Planner:
 
     # building
 
-    def fetch(self, entity: Entity, filter: str | None = None, include: list[str] | None = None, order: Any = None, limit: int | None = None, offset: int | None = None, window: tuple | None = None, columns: list[str] | None = None) -> tuple[DataFrame, PlanReport]:
+    def fetch(self, entity: Entity, filter: str | None = None, include: list[str] | None = None, order: Any = None, limit: int | None = None, offset: int | None = None, window: tuple | None = None, columns: list[str] | None = None, observe: bool = False) -> tuple[DataFrame, PlanReport]:
+        """observe: count the rows that the root gives and those of the result, in the same pass."""
         tree = include_tree(include)
         self.check_tree(entity, tree)
         keys = parse_order(entity, order)
@@ -131,6 +141,7 @@ class Planner:
             raw = raw.where(self.own_filter(entity, own))
         needed = None if columns is None else [*columns, *self._keys(entity, tree), *self._order_names(order), *(p.parts[0] for p in P.paths(rest) if len(p.parts) == 1), *(entity[p.parts[0]].keys[0] for p in P.paths(rest) if len(p.parts) > 1 and p.parts[0] in entity and entity[p.parts[0]].keys)]
         df = self.store.logical(entity, raw, needed)
+        df = report.watch("root", df) if observe else df
         if rest is not None:
             df = self._residual(df, entity, rest, report)
         if keys:
@@ -144,7 +155,7 @@ class Planner:
             df = df.orderBy(*keys)
         if columns is not None:
             df = df.select([c for c in df.columns if c not in stored or c == "id" or c in columns])
-        return df, report
+        return report.watch("result", df) if observe else df, report
 
     @staticmethod
     def _order_names(order: Any) -> list[str]:

@@ -13,7 +13,7 @@ from .functions import predicates
 from .functions.metrics import compile_metrics
 from .operators import evolve, writes
 from .operators.series import SEGMENT_POINTS, SeriesBinding, SeriesStore, check_series
-from .plans.fetch import Planner, PlanReport, absent_dropped, pushed_filters
+from .plans.fetch import Planner, PlanReport, absent_dropped, include_tree, pushed_filters
 from .schema.model import Entity, Model, load
 from .sources.store import Binding, EntityStore
 
@@ -48,8 +48,8 @@ class EntitySet:
 
     # reading
 
-    def fetch(self, filter: str | None = None, include: list[str] | None = None, order: Any = None, limit: int | None = None, offset: int | None = None, window: tuple | None = None, columns: list[str] | None = None) -> Rows:
-        df, report = self.session.planner.fetch(self.entity, filter, include, order, limit, offset, window, columns)
+    def fetch(self, filter: str | None = None, include: list[str] | None = None, order: Any = None, limit: int | None = None, offset: int | None = None, window: tuple | None = None, columns: list[str] | None = None, observe: bool = False) -> Rows:
+        df, report = self.session.planner.fetch(self.entity, filter, include, order, limit, offset, window, columns, observe)
         self.session._planned(report)
         return Rows(df, self.session, report)
 
@@ -59,8 +59,6 @@ class EntitySet:
     def get(self, id: Any, include: list[str] | None = None, window: tuple | None = None) -> dict[str, Any] | None:
         raw = self.session.store.raw(self.entity).where(F.col(f"`{self.entity['id'].column}`") == F.lit(id))
         planner = self.session.planner
-        from .plans.fetch import include_tree
-
         tree = include_tree(include)
         planner.check_tree(self.entity, tree)
         report = PlanReport(self.entity.name, own_filter=True)
