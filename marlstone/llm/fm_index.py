@@ -269,3 +269,19 @@ def scan(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None = None, r
 def decontaminated(docs: DataFrame, benchmark: DataFrame, most_items: int = 2, **more) -> DataFrame:
     """The documents without those that hold `most_items` items or more; the rest lose the spans of theirs."""
     return scan(docs, benchmark, remove=most_items, **more)
+
+
+_WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+#: What is found, over DuckDB's `documents` and `benchmark`, by joining windows.
+SQL = f"""
+WITH d AS (SELECT doc_id, coalesce({_WORDS}, []) AS w FROM documents),
+b AS (SELECT coalesce(item_id::VARCHAR, '') AS item, {_WORDS} AS w FROM benchmark WHERE text IS NOT NULL),
+phrase AS (SELECT DISTINCT item, list_slice(w, k, k + {WINDOW - 1}) AS p FROM (SELECT item, w, unnest(range(1, greatest(1, len(w) - {WINDOW - 1}) + 1)) AS k FROM b WHERE len(w) > 0)),
+size AS (SELECT DISTINCT len(p) AS n FROM phrase),
+spot AS (SELECT doc_id, n, k, list_slice(w, k, k + n - 1) AS p FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS k FROM d, size WHERE len(w) >= n)),
+hit AS (SELECT doc_id, n, k, item FROM spot JOIN phrase USING (p)),
+covered AS (SELECT doc_id, count(DISTINCT x) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + n)) AS x FROM (SELECT DISTINCT doc_id, n, k FROM hit)) GROUP BY 1),
+named AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM hit) GROUP BY 1)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_items, 0) >= 2 AS contaminated
+FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id)
+"""

@@ -33,8 +33,8 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_bit_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     store = plane_store.write_store(_table(spark, sf_dir, "documents"), public_tokenizers.path(WORDS), end_id=1)
-    read = plane_store.read_store(spark, store)
-    return read.select("doc_id", "start", (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"), F.col("crc32").alias("ids_crc32"))
+    read = plane_store.read_store(spark, store, with_ids=False)
+    return read.select("doc_id", "start", "n_tokens", F.col("crc32").alias("ids_crc32"))
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,4 +71,4 @@ def op10_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_simhash, op2_html_text, op3_byte_bpe, op4_bit_planes, op5_quality, op6_media, op7_token_counts, op8_language, op9_decontamination, op10_line_templates)}
-ORACLE = {"op10_line_templates": line_templates.SQL}
+ORACLE = {"op9_decontamination": fm_index.SQL, "op10_line_templates": line_templates.SQL}
