@@ -6,6 +6,7 @@ a new snapshot whole and only then moves the pointer, so a failed write leaves t
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from dataclasses import dataclass
@@ -31,7 +32,7 @@ def default_root(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return f"{named.rstrip('/')}/entities-{uuid.uuid4().hex}"
-    if not spark.sparkContext.master.startswith("local["):
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         raise StoreError("a path is needed that all executors share")
     return "file://" + tempfile.mkdtemp(prefix="marlstone-")
 
@@ -66,9 +67,14 @@ class Files:
         stream = fs.create(new, True)
         stream.write(bytearray(text.encode()))
         stream.close()
-        fs.delete(p, False)
-        if not fs.rename(new, p):
-            raise StoreError(f"can't write {path}")
+        rename = getattr(self.jvm.org.apache.hadoop.fs, "Options$Rename")
+        over = self.spark.sparkContext._gateway.new_array(rename, 1)
+        over[0] = rename.OVERWRITE
+        self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(p.toUri(), self.conf).rename(new, p, over)
+
+    def names(self, path: str) -> list[str]:
+        fs, p = self._at(path)
+        return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
 
     def delete(self, path: str) -> None:
         fs, p = self._at(path)
@@ -147,6 +153,13 @@ class EntityStore:
         self.files.write(f"{self.root}/{entity.table}/CURRENT", version)
         self._frames.pop(entity.name, None)
 
+    def vacuum(self, table: str) -> list[str]:
+        """Delete the snapshots of a table that are no longer current; readers that still hold them fail."""
+        old = [n for n in self.files.names(f"{self.root}/{table}") if n.startswith("v-") and n != self._current(table).rsplit("/", 1)[1]]
+        for n in old:
+            self.files.delete(f"{self.root}/{table}/{n}")
+        return old
+
     def drop(self, table: str) -> None:
         self.files.delete(f"{self.root}/{table}")
 

@@ -59,6 +59,8 @@ def test_remove_and_frames(spark, tmp_path):
     ses["Site"].remove(spark.createDataFrame([("x",)], "id string"))
     assert set(rows(connect(spark, TINY, f"file://{tmp_path}"), "Site")) == {"s3", "y"}
     ses["Site"].remove([])
+    assert len(ses.store.vacuum("site")) >= 5 and ses.store.vacuum("site") == []
+    assert set(rows(connect(spark, TINY, f"file://{tmp_path}"), "Site")) == {"s3", "y"}
 
 
 BASE = "entity type Site { id: string, name: string, region: string }"
