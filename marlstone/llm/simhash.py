@@ -27,10 +27,12 @@ from .common import plain_text, sliced, written
 from .components import components, forest
 
 SEED, BITS = 42, 64
-#: near_copies: bits that candidates may differ in, seeds of their fingerprints, numbers in a sketch of shingles.
+#: near_copies: bits that candidates may differ in, seeds of their fingerprints, bins in a sketch of shingles.
 NEAR_BITS, NEAR_SEEDS, SKETCH = 6, (42, 43), 256
 #: Shingles counted at once; children of a node; rows of a top node beyond which it is split; node pairs at once.
 STEP, FAN, HOT, PAIRS = 1 << 16, 16, 20_000, 8192
+#: One of so many fingerprints is counted to tell which top nodes are large.
+HOT_SHARE = 16
 #: Rows of the index that a worker holds, unless one top node has more.
 HELD = 200_000
 
@@ -176,7 +178,9 @@ def links(nodes: DataFrame, radius: int, shared: int = 1, hot: int = HOT, depth:
         if level == depth:
             parts.append(rows)
             break
-        large = written(rows.groupBy("mask", "pattern").count().where(F.col("count") > hot).select("mask", "pattern"), "hot")
+        # which top nodes are split decides the work only, never what is found: a share of the rows tells them well enough
+        told = rows.where(F.pmod(F.xxhash64("node"), F.lit(HOT_SHARE)) == 0).groupBy("mask", "pattern").count()
+        large = written(told.where(F.col("count") * HOT_SHARE > hot).select("mask", "pattern"), "hot")
         if large.isEmpty():
             parts.append(rows)
             break
@@ -235,8 +239,8 @@ def near_duplicates(docs: DataFrame, size: int = 3, radius: int = 2, key: str =
     return own.join(by_fp, "fp").select(key, "fp", "component_id")
 
 
-def sketched(text: str, size: int) -> tuple[bytes, list[int], bytes]:
-    """A digest of the words, fingerprints of the set of words by NEAR_SEEDS, and the SKETCH least hashes of shingles."""
+def sketched(text: str, size: int) -> tuple[bytes, list[int], bytes, bytes]:
+    """A digest of the words, fingerprints of the set of words by NEAR_SEEDS, a sketch of the shingles in SKETCH bytes, and their hashes in order."""
     words = words_of(text)
     one = xxhash.xxh3_128_digest(b" ".join(words))
     distinct = set(words)
@@ -246,27 +250,32 @@ def sketched(text: str, size: int) -> tuple[bytes, list[int], bytes]:
         seen = sum((np.unpackbits(h[k : k + STEP].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64) for k in range(0, len(h), STEP)), np.zeros(BITS, np.int64))
         fps.append(int(np.packbits(2 * seen > len(h), bitorder="little").view("<i8")[0]))
     h = np.unique(np.fromiter(map(xxhash.xxh32_intdigest, shingles(words, size)), np.uint32))
-    return one, fps, h[:SKETCH].tobytes()
+    least = np.full(SKETCH, 2**32, np.uint64)
+    np.minimum.at(least, h % SKETCH, (h // SKETCH).astype(np.uint64))
+    return one, fps, np.where(least < 2**32, 1 + least % 255, 0).astype(np.uint8).tobytes(), h.tobytes()
 
 
 def alike(a: bytes, b: bytes) -> float:
-    """The share of shingles in common, from two sketches; exact if both hold all."""
+    """The share of shingles in common, as estimated from two sketches (one permutation: a byte of each bin's least hash, 0 if empty)."""
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    some = int(((x > 0) | (y > 0)).sum())
+    return int(((x == y) & (x > 0)).sum()) / some if some else 1.0
+
+
+def shared(a: bytes, b: bytes) -> float:
+    """The share of shingles in common, from all their hashes."""
     x, y = np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)
-    if not len(x) or not len(y):
-        return float(len(x) == len(y))
-    both = np.unique(np.r_[x, y])
-    if max(len(x), len(y)) == SKETCH:
-        both = both[:SKETCH]
-    return np.isin(both, x, assume_unique=True)[np.isin(both, y, assume_unique=True)].sum() / len(both)
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both / (len(x) + len(y) - both) if len(x) + len(y) else 1.0
 
 
 def near_copies(docs: DataFrame, size: int = 5, similarity: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key and component_id of each document: groups of texts that share `similarity` of their shingles.
 
     At that similarity the fingerprints of shingles differ in ten bits or so, which no index can search; those of
-    the sets of words differ in few. So the index finds candidates by two fingerprints of word sets, and a candidate
-    edge stays if the sketches of the shingles agree. The index gives a forest for each top node, nearest first, so
-    every text has edges to several others. Equal words are one text.
+    the sets of words differ in few. So the index finds candidates by two fingerprints of word sets. Sketches of the
+    shingles tell the clear edges, and all shingles of both texts the others. The index gives a forest for each top
+    node, nearest first, so every text has edges to several others. Equal words are one text.
     """
     source = plain_text(docs, key, text=text)
     kind = source.schema[key].dataType.simpleString()
@@ -274,28 +283,37 @@ def near_copies(docs: DataFrame, size: int = 5, similarity: float = 0.8, key: st
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, 1):
             told = [sketched(t, size) for t in batch.column(1).to_pylist()]
-            one = np.frombuffer(b"".join(d for d, _, _ in told), np.int64).reshape(-1, 2)[:, 0]
-            fps = [pa.array([f[k] for _, f, _ in told], pa.int64()) for k in range(len(NEAR_SEEDS))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.ascontiguousarray(one)), *fps, pa.array([s for _, _, s in told], pa.binary())], [key, "node", *(f"fp{k}" for k in range(len(NEAR_SEEDS))), "sketch"])
+            one = np.frombuffer(b"".join(t[0] for t in told), np.int64).reshape(-1, 2)[:, 0]
+            fps = [pa.array([t[1][k] for t in told], pa.int64()) for k in range(len(NEAR_SEEDS))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.ascontiguousarray(one)), *fps, *(pa.array([t[c] for t in told], pa.binary()) for c in (2, 3))], [key, "node", *(f"fp{k}" for k in range(len(NEAR_SEEDS))), "sketch", "shingles"])
 
     seeds = range(len(NEAR_SEEDS))
-    own = written(source.mapInArrow(make, f"`{key}` {kind}, node bigint, {', '.join(f'fp{k} bigint' for k in seeds)}, sketch binary"), "sketches")
+    own = written(source.mapInArrow(make, f"`{key}` {kind}, node bigint, {', '.join(f'fp{k} bigint' for k in seeds)}, sketch binary, shingles binary"), "sketches")
     nodes = written(own.groupBy("node").agg(F.min(key).alias("least"), *[F.min(f"fp{k}").alias(f"fp{k}") for k in seeds]), "nodes")
     found = None
     for k in seeds:
         more = links(nodes.select("node", F.col(f"fp{k}").alias("fp")), NEAR_BITS, shared=2).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         found = more if found is None else found.union(more)
     found = written(found.distinct(), "candidates")
-    ends = found.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    sketches = written(own.select("node", "sketch").join(ends, "node", "left_semi").dropDuplicates(["node"]), "ends")
-    pairs = found.join(sketches.toDF("a", "x"), "a").join(sketches.toDF("b", "y"), "b")
 
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, 2):
-            good = [alike(x, y) >= similarity for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(good))
+    def judged(edges: DataFrame, column: str, judge) -> DataFrame:
+        """a, b and the verdict of judge on the column of both ends."""
+        ends = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        held = written(own.select("node", column).join(ends, "node", "left_semi").dropDuplicates(["node"]), "ends")
+        pairs = edges.join(held.toDF("a", "x"), "a").join(held.toDF("b", "y"), "b").select("a", "b", "x", "y")
+
+        def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in sliced(batches, 2):
+                told = [judge(x, y) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(told, pa.int32())], ["a", "b", "verdict"])
+
+        return pairs.mapInArrow(verify, "a bigint, b bigint, verdict int")
 
-    roots = components(pairs.select("a", "b", "x", "y").mapInArrow(verify, "a bigint, b bigint"))
+    # five standard errors on either side of the bound are looked at closely: 2 sure, 1 unsure, 0 no
+    wide = 5 * (similarity * (1 - similarity) / SKETCH) ** 0.5
+    rough = written(judged(found, "sketch", lambda x, y: 2 if (r := alike(x, y)) >= similarity + wide else int(r >= similarity - wide)), "rough")
+    close = judged(rough.where("verdict = 1").select("a", "b"), "shingles", lambda x, y: int(shared(x, y) >= similarity))
+    roots = components(rough.where("verdict = 2").select("a", "b").union(close.where("verdict = 1").select("a", "b")))
     placed = written(nodes.select("node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "placed")
     ids = placed.groupBy("root").agg(F.min("least").alias("component_id"))
     return own.select(key, "node").join(placed.join(ids, "root").select("node", "component_id"), "node").select(key, "component_id")
