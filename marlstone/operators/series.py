@@ -16,6 +16,7 @@ from typing import Any
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -29,6 +30,8 @@ _OF = [("type", T.StringType()), ("field", T.StringType()), ("key", T.StringType
 POINTS = T.StructType([T.StructField(*c) for c in [*_OF, ("ts", T.LongType()), ("value", T.DoubleType()), ("seq", T.LongType())]])
 SEGMENTS = T.StructType([T.StructField(*c) for c in [*_OF, ("min_ts", T.LongType()), ("max_ts", T.LongType()), ("n", T.IntegerType()), ("first_seq", T.LongType()), ("blob", T.BinaryType())]])
 SEGMENT_POINTS = 512
+#: Arrivals whose order one window checks, as a power of two.
+BLOCK_BITS = 20
 #: Bytes that a segment's own numbers and an open point count for in the stats.
 SEGMENT_BYTES, POINT_BYTES = 32, 16
 
@@ -144,13 +147,17 @@ class SeriesStore:
         self.store.files.write(f"{self.root}/MANIFEST", json.dumps(manifest))
 
     def _refuse_disorder(self, entity: Entity, f: Field, batch: DataFrame) -> None:
-        # in order of arrival, a point isn't before the latest of those before it
-        from pyspark.sql import Window as W
-
-        arrival = W.partitionBy("key").orderBy("seq")
-        back = batch.withColumn("before", F.lag("ts").over(arrival)).where("ts < before or ts is null or value is null or key is null").limit(1).collect()
-        if back:
-            raise StoreError(f"{entity.name}.{f.name} of {back[0]['key']!r}: {back[0]['ts']} comes after {back[0]['before']}")
+        # in order of arrival, a point isn't before the latest of those before it: first within blocks of arrivals, so
+        # that a long series is the work of many tasks, then from block to block
+        blocks = batch.withColumn("block", F.shiftright("seq", BLOCK_BITS))
+        before = F.lag("ts").over(W.partitionBy("key", "block").orderBy("seq"))
+        back = blocks.withColumn("before", before).where("ts < before or ts is null or value is null or key is null")
+        ends = blocks.groupBy("key", "block").agg(F.min_by("ts", "seq").alias("ts"), F.max("ts").alias("last"))
+        past = F.max("last").over(W.partitionBy("key").orderBy("block").rowsBetween(W.unboundedPreceding, -1))
+        across = ends.withColumn("before", past).where("ts < before")
+        found = back.select("key", "ts", "before").union(across.select("key", "ts", "before")).limit(1).collect()
+        if found:
+            raise StoreError(f"{entity.name}.{f.name} of {found[0]['key']!r}: {found[0]['ts']} comes after {found[0]['before']}")
         first = batch.groupBy("key").agg(F.min("ts").alias("ts"))
         held = self.open_points().where((F.col("type") == entity.name) & (F.col("field") == f.name)).select("key", F.col("ts").alias("last"))
         held = held.unionByName(self.segments().where((F.col("type") == entity.name) & (F.col("field") == f.name)).select("key", F.col("max_ts").alias("last")))

@@ -135,6 +135,21 @@ def test_series(spark, tmp_path):
     assert again["Sensor"].series("readings").count() == 15 and again["Turbine"].count() == 5
 
 
+def test_order_of_arrival_across_blocks(spark, tmp_path, monkeypatch):
+    from marlstone.operators import series
+
+    monkeypatch.setattr(series, "BLOCK_BITS", 1)
+    ses = filled(spark, tmp_path)
+    S = ses["Sensor"]
+    for bad in ([1, 2, 3, 4, 5, 4], [5, 6, 1, 2, 3], [3, 3, 4, 9, 8, 10]):
+        with pytest.raises(StoreError):
+            S.append_series("readings", "t1-temp", [(t, 1.0) for t in bad])
+    with pytest.raises(StoreError):
+        S.append_series("readings", rows=spark.createDataFrame([("t1-temp", 1, None)], "k string, t bigint, v double"))
+    S.append_series("readings", "t1-temp", [(t, float(t)) for t in (1, 1, 2, 3, 3, 3, 7)])
+    assert [r.ts for r in S.series("readings", "t1-temp").collect()] == [1, 1, 2, 3, 3, 3, 7]
+
+
 def test_duplicate_times_across_a_segment_border(spark, tmp_path):
     ses = filled(spark, tmp_path, segment_points=2)
     ses["Sensor"].append_series("readings", "t1-temp", [(1, 1.0), (2, 2.0), (2, 3.0), (3, 4.0)])
@@ -180,3 +195,15 @@ def test_polymorphic(spark, tmp_path):
         ses["Plant"].fetch(include=["units.parts"])
     with pytest.raises(QueryError):
         ses["Plant"].fetch("main.rpm == 7")
+
+
+def test_a_type_that_refers_to_itself(spark, tmp_path):
+    from marlstone import connect
+
+    ses = connect(spark, "entity type Node { id: int, upId: int, kind: string, up: Node(upId), downs: [Node](upId, id) }", f"file://{tmp_path}")
+    ses["Node"].create([{"id": k, "upId": k // 2 or None, "kind": "odd" if k % 2 else "even"} for k in range(1, 8)])
+    got = {r["id"]: r for r in ses["Node"].fetch(include=["up.up", "downs.downs"])}
+    assert got[7]["up"]["up"]["id"] == 1 and got[1]["up"] is None and [d["id"] for d in got[1]["downs"]] == [2, 3]
+    assert [x["id"] for d in got[1]["downs"] for x in d["downs"]] == [4, 5, 6, 7]
+    assert sorted(ids(ses["Node"].fetch('up.kind == "even" and up.up.id == 1', include=["up"]))) == [4, 5]
+    assert [(r["id"], len(r["downs"])) for r in ses["Node"].fetch('kind == "even"', include=["downs"], order="id")] == [(2, 2), (4, 0), (6, 0)]
