@@ -85,6 +85,9 @@ def test_store_keeps_order_and_ids(spark, docs, bits, monkeypatch):
         want.append((at, str(i), raw, zlib.crc32(raw)))
         at += len(ids)
     assert got == want
+    short = plane_store.read_store(spark, store, with_ids=False)
+    assert short.columns == ["doc_id", "start", "n_tokens", "crc32"]
+    assert sorted((r.start, r.n_tokens, r.crc32) for r in short.collect()) == [(a, len(raw) // 4, c) for a, _, raw, c in want]
     index = spark.read.parquet(store.index)
     assert index.agg({"n_ids": "sum"}).collect()[0][0] == at
 
