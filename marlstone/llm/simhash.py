@@ -325,7 +325,9 @@ def one_of_each(docs: DataFrame, size: int = 5, similarity: float = 0.8, key: st
     Groups of null keys alone keep one document in all.
     """
     groups = written(near_copies(docs, size, similarity, key, text), "groups")
-    first = groups.where(F.col(key) == F.col("component_id")).select(F.col(key).alias("__first")).distinct()
-    unknown = groups.where("component_id is null").limit(1).select(F.col(key).alias("__first"))
-    kept = docs.join(first.union(unknown), F.col(f"`{key}`").eqNullSafe(F.col("__first")), "left_semi")
-    return kept.dropDuplicates([key])
+    first = groups.where(F.col(f"`{key}`") == F.col("component_id")).select(F.col("component_id").alias("__first")).distinct()
+    # the join and the removal of repeats share one shuffle of the documents
+    kept = docs.join(first, F.col(f"`{key}`") == F.col("__first"), "left_semi").dropDuplicates([key])
+    if groups.where("component_id is null").isEmpty():
+        return kept
+    return kept.unionByName(docs.where(F.col(f"`{key}`").isNull()).limit(1))
