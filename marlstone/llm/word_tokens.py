@@ -17,6 +17,8 @@ from tokenizers import Tokenizer
 
 #: Words that a worker remembers; beyond it those that came up again stay. Longer words are never remembered.
 MEMO_WORDS, MEMO_CHARS = 1_000_000, 64
+#: Marks that may end a word of Latin letters, and the first letter beyond those.
+ENDS, LATIN = ",.;:!?", "\u0250"
 #: Normalisers that treat a text as they treat its words, and the alternatives of a piece,
 #: as they are for lower-case ASCII and in full.
 BY_WORD = {"NFC", "Lowercase"}
@@ -53,11 +55,18 @@ class Memo(dict):
         self.pieces = re.compile("|".join(PIECES_ASCII)).findall
 
     def __missing__(self, word: str) -> bytes:
+        parts = ()
         if word.isascii() and word.isprintable() and "<|" not in word:
-            ids = [t.id for p in self.pieces(word.lower()) for t in self.one(p)]
+            parts = self.pieces(word.lower())
+            ids = [t.id for t in self.one(parts[0])] if len(parts) == 1 else []
+        elif word[-1] in ENDS and word[-2:-1].isalpha() and word[-2] < LATIN and "<|" not in word:
+            parts = (word[:-1], word[-1])  # a letter and a mark are never in one piece
         else:
             ids = self.library.encode(word, add_special_tokens=False).ids
-        told = struct.pack(f"<{len(ids)}I", *ids)
+        if len(parts) > 1:
+            told = b"".join([self[p] for p in parts])
+        else:
+            told = struct.pack(f"<{len(ids)}I", *ids)
         if len(word) <= MEMO_CHARS:
             self[word] = told
         return told
