@@ -120,8 +120,8 @@ def _shards(spark) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def read_store(spark, store: PlaneStore) -> DataFrame:
-    """key, start, ids (little-endian unsigned 32-bit integers) and their crc32, one row for each document, from the files."""
+def read_store(spark, store: PlaneStore, with_ids: bool = True) -> DataFrame:
+    """key, start, n_tokens, the ids' crc32 and ids (little-endian unsigned 32-bit integers), one row for each document, from the files."""
     kind, bits = store.kind, store.bits
     rows = spark.read.schema(CHUNK.format(kind=kind)).parquet(store.chunks).select("shard", "chunk", "n_ids", "keys", "lengths", "planes")
     index = spark.read.parquet(store.index).select("shard", "chunk", "start")
@@ -132,9 +132,12 @@ def read_store(spark, store: PlaneStore) -> DataFrame:
                 n, keys, lengths, planes, start = (batch.column(c)[r].as_py() if c != 3 else batch.column(c).slice(r, 1).flatten() for c in (2, 3, 4, 5, 6))
                 ids, ends = unpack(planes, n, bits), np.cumsum(lengths, dtype=np.int64)
                 begins = ends - np.asarray(lengths)
-                parts = [ids[a:b].tobytes() for a, b in zip(begins, ends)]
-                yield pa.RecordBatch.from_arrays([keys, pa.array(start + begins, pa.int64()), pa.array(parts, pa.binary()), pa.array([zlib.crc32(p) for p in parts], pa.int64())], [store.key, "start", "ids", "crc32"])
+                parts = [ids[a:b] for a, b in zip(begins.tolist(), ends.tolist())]
+                cols = [keys, pa.array(start + begins, pa.int64()), pa.array(np.asarray(lengths, np.int64)), pa.array([zlib.crc32(p) for p in parts], pa.int64())]
+                if with_ids:
+                    cols.append(pa.array([p.tobytes() for p in parts], pa.binary()))
+                yield pa.RecordBatch.from_arrays(cols, [store.key, "start", "n_tokens", "crc32", "ids"][: len(cols)])
 
     # The index has a few numbers for each half million ids; Spark broadcasts it while it is small, and else shuffles.
     joined = rows.join(index, ["shard", "chunk"]).select("shard", "chunk", "n_ids", "keys", "lengths", "planes", "start")
-    return joined.mapInArrow(open_, f"`{store.key}` {kind}, start bigint, ids binary, crc32 bigint")
+    return joined.mapInArrow(open_, f"`{store.key}` {kind}, start bigint, n_tokens bigint, crc32 bigint" + ", ids binary" * with_ids)

@@ -58,10 +58,9 @@ def normalised(path: str, text):
 
 def read_cache(spark: SparkSession, cache: str) -> DataFrame:
     """The cache, one row for each key; an absent one is empty."""
-    jvm, path = spark._jvm, spark._jvm.org.apache.hadoop.fs.Path(cache)
+    path = spark._jvm.org.apache.hadoop.fs.Path(cache)
     if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
         return spark.createDataFrame([], CACHE)
-    del jvm
     return spark.read.schema(CACHE).parquet(cache).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
 
 
