@@ -298,8 +298,11 @@ def near_copies(docs: DataFrame, size: int = 5, similarity: float = 0.8, key: st
 
     def judged(edges: DataFrame, column: str, judge) -> DataFrame:
         """a, b and the verdict of judge on the column of both ends."""
-        ends = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        held = written(own.select("node", column).join(ends, "node", "left_semi").dropDuplicates(["node"]), "ends")
+        # of the copies of a text only the first is looked for, so that they don't meet in one task
+        ends = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "least"), "node").toDF("end", "least")
+        of = own.select("node", F.col(f"`{key}`").alias("key"), column)
+        held = of.join(ends, (F.col("node") == F.col("end")) & F.col("key").eqNullSafe(F.col("least")), "left_semi")
+        held = written(held.select("node", column).dropDuplicates(["node"]), "ends")
         pairs = edges.join(held.toDF("a", "x"), "a").join(held.toDF("b", "y"), "b").select("a", "b", "x", "y")
 
         def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
