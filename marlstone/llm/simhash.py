@@ -269,6 +269,11 @@ def shared(a: bytes, b: bytes) -> float:
     return both / (len(x) + len(y) - both) if len(x) + len(y) else 1.0
 
 
+def _row(key: str, text: str):
+    """A digest of key and text, as a Column."""
+    return F.xxhash64(F.col(f"`{key}`"), F.coalesce(F.col(f"`{text}`"), F.lit("")))
+
+
 def near_copies(docs: DataFrame, size: int = 5, similarity: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key and component_id of each document: groups of texts that share `similarity` of their shingles.
 
@@ -277,18 +282,25 @@ def near_copies(docs: DataFrame, size: int = 5, similarity: float = 0.8, key: st
     shingles tell the clear edges, and all shingles of both texts the others. The index gives a forest for each top
     node, nearest first, so every text has edges to several others. Equal words are one text.
     """
-    source = plain_text(docs, key, text=text)
+    own, placed = _grouped(docs, size, similarity, key, text)
+    ids = placed.groupBy("root").agg(F.min("least").alias("component_id"))
+    return own.select(key, "node").join(placed.join(ids, "root").select("node", "component_id"), "node").select(key, "component_id")
+
+
+def _grouped(docs: DataFrame, size: int, similarity: float, key: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """Of each row its key, row (see _row) and node (a text); of each node its least key and root, equal in one group."""
+    source = plain_text(docs.withColumn("__row", _row(key, text)), key, "__row", text=text)
     kind = source.schema[key].dataType.simpleString()
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, 1):
-            told = [sketched(t, size) for t in batch.column(1).to_pylist()]
+        for batch in sliced(batches, 2):
+            told = [sketched(t, size) for t in batch.column(2).to_pylist()]
             one = np.frombuffer(b"".join(t[0] for t in told), np.int64).reshape(-1, 2)[:, 0]
             fps = [pa.array([t[1][k] for t in told], pa.int64()) for k in range(len(NEAR_SEEDS))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.ascontiguousarray(one)), *fps, *(pa.array([t[c] for t in told], pa.binary()) for c in (2, 3))], [key, "node", *(f"fp{k}" for k in range(len(NEAR_SEEDS))), "sketch", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.ascontiguousarray(one)), *fps, *(pa.array([t[c] for t in told], pa.binary()) for c in (2, 3))], [key, "row", "node", *(f"fp{k}" for k in range(len(NEAR_SEEDS))), "sketch", "shingles"])
 
     seeds = range(len(NEAR_SEEDS))
-    own = written(source.mapInArrow(make, f"`{key}` {kind}, node bigint, {', '.join(f'fp{k} bigint' for k in seeds)}, sketch binary, shingles binary"), "sketches")
+    own = written(source.mapInArrow(make, f"`{key}` {kind}, row bigint, node bigint, {', '.join(f'fp{k} bigint' for k in seeds)}, sketch binary, shingles binary"), "sketches")
     nodes = written(own.groupBy("node").agg(F.min(key).alias("least"), *[F.min(f"fp{k}").alias(f"fp{k}") for k in seeds]), "nodes")
     found = None
     for k in seeds:
@@ -317,20 +329,17 @@ def near_copies(docs: DataFrame, size: int = 5, similarity: float = 0.8, key: st
     rough = written(judged(found, "sketch", lambda x, y: 2 if (r := alike(x, y)) >= similarity + wide else int(r >= similarity - wide)), "rough")
     close = judged(rough.where("verdict = 1").select("a", "b"), "shingles", lambda x, y: int(shared(x, y) >= similarity))
     roots = components(rough.where("verdict = 2").select("a", "b").union(close.where("verdict = 1").select("a", "b")))
-    placed = written(nodes.select("node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "placed")
-    ids = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    return own.select(key, "node").join(placed.join(ids, "root").select("node", "component_id"), "node").select(key, "component_id")
+    return own, written(nodes.select("node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "placed")
 
 
 def one_of_each(docs: DataFrame, size: int = 5, similarity: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One document of each group: the least key's, and one row of those that repeat it.
+    """One row of each group of near copies: the least key's (a null is the greatest), then the least digest of key and text.
 
-    Groups of null keys alone keep one document in all.
+    Rows of equal key and text are one row. A key stays in several rows if its texts are of different groups.
     """
-    groups = written(near_copies(docs, size, similarity, key, text), "groups")
-    first = groups.where(F.col(f"`{key}`") == F.col("component_id")).select(F.col("component_id").alias("__first")).distinct()
+    own, placed = _grouped(docs, size, similarity, key, text)
+    first = own.join(placed.select("node", "root"), "node").groupBy("root").agg(F.min(F.struct(F.col(f"`{key}`").isNull().alias("none"), F.col(f"`{key}`").alias("key"), "row")).alias("first"))
+    first = written(first.select(F.col("first.row").alias("__first")), "first")
+    rows = docs.withColumn("__row", _row(key, text))
     # the join and the removal of repeats share one shuffle of the documents
-    kept = docs.join(first, F.col(f"`{key}`") == F.col("__first"), "left_semi").dropDuplicates([key])
-    if groups.where("component_id is null").isEmpty():
-        return kept
-    return kept.unionByName(docs.where(F.col(f"`{key}`").isNull()).limit(1))
+    return rows.join(first, F.col("__row") == F.col("__first"), "left_semi").dropDuplicates(["__row"]).drop("__row")

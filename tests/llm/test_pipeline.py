@@ -117,3 +117,13 @@ def test_stages_of_odd_rows(spark, tmp_path):
     cut = {r.doc_id: r.text for r in stages["benchmark"](spark, wide, d).collect()}
     assert phrase not in cut[3] and cut[4] == clean and len(cut) == len({r[0] for r in rows})
     assert stages["tokens"](spark, wide, d).count() == stages["lines"](spark, wide, d).count() == len(rows)
+
+
+def test_rows_without_a_key_of_their_own_stay(spark):
+    """Different texts under null ids or under one id aren't copies of each other."""
+    rng = random.Random(4)
+    text = lambda: " ".join(str(rng.randint(0, 10**6)) for _ in range(60))
+    lone, twice, copied = [text() for _ in range(6)], [text(), text()], text()
+    rows = [(None, t) for t in lone] + [(1, t) for t in twice] + [(2, copied), (None, copied), (3, copied), (1, twice[0])]
+    stay = simhash.one_of_each(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert sorted(map(str, stay)) == sorted(str(r) for r in spark.createDataFrame([(None, t) for t in lone] + [(1, t) for t in twice] + [(2, copied)], "doc_id bigint, text string").collect())
