@@ -14,6 +14,7 @@ ids keep their rows; a component whose ids are all null has a null id. An empty
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Iterator
 from functools import partial
 
@@ -33,6 +34,10 @@ NEAR_BITS, NEAR_SEEDS, SKETCH = 6, (42, 43), 256
 STEP, FAN, HOT, PAIRS = 1 << 16, 16, 20_000, 8192
 #: One of so many fingerprints is counted to tell which top nodes are large.
 HOT_SHARE = 16
+#: Texts in which shingles are counted to tell the common ones, and how many of them make a shingle common.
+TOLD, COMMON = 8192, 3
+#: How much further apart in a group of a prefix key each round looks.
+WIDER = 16
 #: Rows of the index that a worker holds, unless one top node has more.
 HELD = 200_000
 
@@ -239,6 +244,24 @@ def near_duplicates(docs: DataFrame, size: int = 3, radius: int = 2, key: str =
     return own.join(by_fp, "fp").select(key, "fp", "component_id")
 
 
+def shingle_keys(words: list[bytes], size: int) -> np.ndarray:
+    """Distinct 64-bit hashes of the shingles, ascending."""
+    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, shingles(words, size)), np.uint64))
+
+
+def prefix(keys: np.ndarray, common: np.ndarray, similarity: float) -> np.ndarray:
+    """So many of the keys, common ones last, that any two texts which share `similarity` of their keys share one here.
+
+    common: ascending. The order (common or not, then the key) is the same for all texts. If the least shared key stood in neither
+    text's first n - ceil(similarity * n) + 1 keys, fewer than similarity * n of its n keys would be shared.
+    """
+    at = np.searchsorted(common, keys)
+    last = at < len(common)
+    last[last] = common[at[last]] == keys[last]
+    least = math.ceil(similarity * len(keys) - 1e-9)
+    return np.concatenate([keys[~last], keys[last]])[: len(keys) - max(1, least) + 1]
+
+
 def sketched(text: str, size: int) -> tuple[bytes, list[int], bytes, bytes]:
     """A digest of the words, fingerprints of the set of words by NEAR_SEEDS, a sketch of the shingles in SKETCH bytes, and their hashes in order."""
     words = words_of(text)
@@ -274,13 +297,74 @@ def _row(key: str, text: str):
     return F.xxhash64(F.col(f"`{key}`"), F.coalesce(F.col(f"`{text}`"), F.lit("")))
 
 
+def whole_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """The columns of rows sorted by the first, about HELD rows at once, cut between keys only."""
+    held, size = [], 0
+    for batch in batches:
+        held.append([c.to_numpy() for c in batch.columns])
+        size += batch.num_rows
+        if size >= HELD:
+            cols = [np.concatenate(c) for c in zip(*held)]
+            ends = np.flatnonzero(cols[0][1:] != cols[0][:-1])
+            if len(ends):
+                yield [c[: ends[-1] + 1] for c in cols]
+                cols = [c[ends[-1] + 1 :] for c in cols]
+            held, size = [cols], len(cols[0])
+    if held:
+        yield [np.concatenate(c) for c in zip(*held)]
+
+
+def shared_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (key, node, pos, n), sorted by key and node, without repeats, of keys that several nodes have."""
+    for key, node, pos, n in whole_keys(batches):
+        new = np.r_[True, (key[1:] != key[:-1]) | (node[1:] != node[:-1])]
+        key, node, pos, n = key[new], node[new], pos[new], n[new]
+        same = key[1:] == key[:-1]
+        several = np.r_[False, same] | np.r_[same, False]
+        yield pa.RecordBatch.from_arrays([pa.array(c[several]) for c in (key, node, pos, n)], ["key", "node", "pos", "n"])
+
+
+def pairs_within(low: int, high: int, similarity: float):
+    """Of rows (key, node, pos, n, root), sorted by key and node: pairs of one key, `low` to `high` - 1 rows apart, that aren't joined yet.
+
+    Left out is only what can't share enough: too unlike in size, or with too little behind the key, which is the
+    first that the two share or stands behind the first, and then a group of the first has the pair.
+    """
+    share = similarity / (1 + similarity)
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, node, pos, n, root in whole_keys(batches):
+            told = []
+            for d in range(low, min(high, len(key))):
+                i = np.flatnonzero(key[d:] == key[:-d])
+                if not len(i):
+                    break
+                i = i[root[i] != root[i + d]]
+                j = i + d
+                ok = np.minimum(n[i] - pos[i], n[j] - pos[j]) >= share * (n[i] + n[j]) - 1e-6
+                told.append(np.stack([node[i[ok]], node[j[ok]]]))
+                if sum(t.shape[1] for t in told) > HELD:
+                    yield batch_of(told)
+                    told = []
+            if told:
+                yield batch_of(told)
+
+    def batch_of(told):
+        ab = np.unique(np.concatenate(told, axis=1), axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(ab[0])), pa.array(np.ascontiguousarray(ab[1]))], ["a", "b"])
+
+    return found
+
+
 def near_copies(docs: DataFrame, size: int = 5, similarity: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key and component_id of each document: groups of texts that share `similarity` of their shingles.
 
     At that similarity the fingerprints of shingles differ in ten bits or so, which no index can search; those of
-    the sets of words differ in few. So the index finds candidates by two fingerprints of word sets. Sketches of the
-    shingles tell the clear edges, and all shingles of both texts the others. The index gives a forest for each top
-    node, nearest first, so every text has edges to several others. Equal words are one text.
+    the sets of words differ in few. So the index finds the first candidates by two fingerprints of word sets. Sketches of the
+    shingles tell the clear edges, and all shingles of both texts the others. What that leaves apart is found by
+    prefix keys: two texts at that similarity share one whatever the edit was. Round by round, pairs that stand
+    further apart in the group of a key are looked at, up to the largest group; a pair is passed over only if its
+    ends are joined by edges that were verified. Equal words are one text.
     """
     own, placed = _grouped(docs, size, similarity, key, text)
     ids = placed.groupBy("root").agg(F.min("least").alias("component_id"))
@@ -294,13 +378,26 @@ def _grouped(docs: DataFrame, size: int, similarity: float, key: str, text: str)
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, 2):
-            told = [sketched(t, size) for t in batch.column(2).to_pylist()]
+            texts = batch.column(2).to_pylist()
+            told = [sketched(t, size) for t in texts]
+            keys = [shingle_keys(words_of(t), size) for t in texts]
             one = np.frombuffer(b"".join(t[0] for t in told), np.int64).reshape(-1, 2)[:, 0]
             fps = [pa.array([t[1][k] for t in told], pa.int64()) for k in range(len(NEAR_SEEDS))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.ascontiguousarray(one)), *fps, *(pa.array([t[c] for t in told], pa.binary()) for c in (2, 3))], [key, "row", "node", *(f"fp{k}" for k in range(len(NEAR_SEEDS))), "sketch", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.ascontiguousarray(one)), *fps, *(pa.array([t[c] for t in told], pa.binary()) for c in (2, 3)), pa.array([len(k) for k in keys], pa.int32()), pa.array([prefix(k, common, similarity).tobytes() for k in keys], pa.binary())], [key, "row", "node", *(f"fp{k}" for k in range(len(NEAR_SEEDS))), "sketch", "shingles", "n", "keys"])
 
+    rate = max(1, docs.count() // TOLD)
+
+    def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, 1):
+            for t in batch.column(1).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_keys(words_of(t), size).view(np.int64))], ["key"])
+
+    # which shingles are common decides the work only, never what is found; so many texts, whatever the number of documents
+    some = source.where(F.pmod("__row", F.lit(rate)) == 0).select("__row", "text").mapInArrow(tell, "key bigint")
+    usual = some.groupBy("key").count().where(F.col("count") >= COMMON).select("key").toArrow()
+    common = np.sort(usual.column(0).to_numpy().view(np.uint64))
     seeds = range(len(NEAR_SEEDS))
-    own = written(source.mapInArrow(make, f"`{key}` {kind}, row bigint, node bigint, {', '.join(f'fp{k} bigint' for k in seeds)}, sketch binary, shingles binary"), "sketches")
+    own = written(source.mapInArrow(make, f"`{key}` {kind}, row bigint, node bigint, {', '.join(f'fp{k} bigint' for k in seeds)}, sketch binary, shingles binary, n int, keys binary"), "sketches")
     nodes = written(own.groupBy("node").agg(F.min(key).alias("least"), *[F.min(f"fp{k}").alias(f"fp{k}") for k in seeds]), "nodes")
     found = None
     for k in seeds:
@@ -326,9 +423,36 @@ def _grouped(docs: DataFrame, size: int, similarity: float, key: str, text: str)
 
     # five standard errors on either side of the bound are looked at closely: 2 sure, 1 unsure, 0 no
     wide = 5 * (similarity * (1 - similarity) / SKETCH) ** 0.5
-    rough = written(judged(found, "sketch", lambda x, y: 2 if (r := alike(x, y)) >= similarity + wide else int(r >= similarity - wide)), "rough")
-    close = judged(rough.where("verdict = 1").select("a", "b"), "shingles", lambda x, y: int(shared(x, y) >= similarity))
-    roots = components(rough.where("verdict = 2").select("a", "b").union(close.where("verdict = 1").select("a", "b")))
+
+    def verified(edges: DataFrame) -> DataFrame:
+        rough = written(judged(edges, "sketch", lambda x, y: 2 if (r := alike(x, y)) >= similarity + wide else int(r >= similarity - wide)), "rough")
+        close = judged(rough.where("verdict = 1").select("a", "b"), "shingles", lambda x, y: int(shared(x, y) >= similarity))
+        return written(rough.where("verdict = 2").select("a", "b").union(close.where("verdict = 1").select("a", "b")), "verified")
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, 1):
+            node, n = (batch.column(c).to_numpy() for c in (0, 2))
+            keys = [np.frombuffer(k, np.int64) for k in batch.column(1).to_pylist()]
+            many = np.array([len(k) for k in keys])
+            pos = np.concatenate([np.arange(m, dtype=np.int32) for m in many])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.repeat(node, many)), pa.array(pos), pa.array(np.repeat(n, many))], ["key", "node", "pos", "n"])
+
+    def by_key(rows: DataFrame) -> DataFrame:
+        return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key").sortWithinPartitions("key", "node")
+
+    # one row of each text is enough; rows that repeat the least key go with the others
+    ones = own.select(F.col(f"`{key}`").alias("key"), "node", "keys", "n").join(nodes.select(F.col("node").alias("end"), "least"), (F.col("node") == F.col("end")) & F.col("key").eqNullSafe(F.col("least")), "left_semi")
+    flat = ones.select("node", "keys", "n").mapInArrow(spread, "key bigint, node bigint, pos int, n int")
+    keyed = written(by_key(flat).mapInArrow(shared_keys, flat.schema), "keyed")
+    largest = keyed.groupBy("key").count().agg(F.max("count")).first()[0] or 1
+    edges, low = verified(found), 1
+    while True:
+        roots = written(components(edges), "roots")
+        if low >= largest:
+            break
+        rows = keyed.join(roots, "node", "left").select("key", "node", "pos", "n", F.coalesce("root", "node").alias("root"))
+        more = by_key(rows).mapInArrow(pairs_within(low, low * WIDER, similarity), "a bigint, b bigint")
+        edges, low = edges.union(verified(written(more.distinct(), "pairs"))), low * WIDER
     return own, written(nodes.select("node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "placed")
 
 

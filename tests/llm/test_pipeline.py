@@ -127,3 +127,17 @@ def test_rows_without_a_key_of_their_own_stay(spark):
     rows = [(None, t) for t in lone] + [(1, t) for t in twice] + [(2, copied), (None, copied), (3, copied), (1, twice[0])]
     stay = simhash.one_of_each(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
     assert sorted(map(str, stay)) == sorted(str(r) for r in spark.createDataFrame([(None, t) for t in lone] + [(1, t) for t in twice] + [(2, copied)], "doc_id bigint, text string").collect())
+
+
+def test_dense_families_against_brute_force(spark):
+    """Texts of the same words in other orders are candidates all; each has one true near copy."""
+    rng = random.Random(21)
+    words = [f"w{k}" for k in range(150)]
+    texts = []
+    for _ in range(60):
+        w = rng.sample(words, len(words))
+        texts += [" ".join(w), " ".join([*w[:70], w[71], w[70], *w[72:]])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r.doc_id: r.component_id for r in simhash.near_copies(docs).collect()}
+    assert all(shares(texts[k], texts[k + 1]) >= 0.8 for k in range(0, len(texts), 2))
+    assert got == {k: k - k % 2 for k in range(len(texts))}
