@@ -141,3 +141,47 @@ def test_dense_families_against_brute_force(spark):
     got = {r.doc_id: r.component_id for r in simhash.near_copies(docs).collect()}
     assert all(shares(texts[k], texts[k + 1]) >= 0.8 for k in range(0, len(texts), 2))
     assert got == {k: k - k % 2 for k in range(len(texts))}
+
+
+def edited(kind, w, word, rng):
+    """Contiguous edits that leave 0.8 of the shingles or little more."""
+    n, new = len(w), [word() for _ in range(len(w))]
+    if kind == "appended":
+        return w + new[: int(0.23 * n)]
+    if kind == "inserted":
+        return w[: n // 2] + new[: int(0.2 * n)] + w[n // 2 :]
+    if kind == "cut":
+        return w[: int(0.84 * n)]
+    if kind == "moved":
+        return w[n // 3 :] + w[: n // 3]
+    return w[: n // 4] + new[: int(0.08 * n)] + w[n // 4 + int(0.08 * n) :]
+
+
+@pytest.mark.parametrize("kind", ["appended", "inserted", "cut", "moved", "replaced"])
+def test_prefixes_meet_whatever_the_edit(kind):
+    rng = random.Random(kind)
+    word = lambda: f"w{int(rng.paretovariate(0.6)) % 5000}"
+    common = np.zeros(0, np.uint64)
+    pairs = 0
+    for _ in range(200):
+        w = [word() for _ in range(rng.randint(60, 600))]
+        a, b = (simhash.shingle_keys([x.encode() for x in t], 5) for t in (w, edited(kind, w, word, rng)))
+        if rng.random() < 0.5:
+            common = np.sort(rng.choices(a, k=len(a)))  # any choice of common ones will do
+        both = len(np.intersect1d(a, b))
+        if both / (len(a) + len(b) - both) >= 0.8:
+            pairs += 1
+            assert len(np.intersect1d(simhash.prefix(a, common, 0.8), simhash.prefix(b, common, 0.8)))
+    assert pairs > 150
+
+
+def test_contiguous_edits_against_brute_force(spark):
+    rng = random.Random(8)
+    word = lambda: f"w{int(rng.paretovariate(0.6)) % 5000}"
+    texts = []
+    for kind in ["appended", "inserted", "cut", "moved", "replaced"] * 12:
+        w = [word() for _ in range(rng.randint(100, 400))]
+        texts += [" ".join(w), " ".join(edited(kind, w, word, rng))]
+    got = {r.doc_id: r.component_id for r in simhash.near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()}
+    true = [shares(texts[k], texts[k + 1]) >= 0.8 for k in range(0, len(texts), 2)]
+    assert sum(true) > 45 and all(got[2 * k + 1] == (2 * k if near else 2 * k + 1) for k, near in enumerate(true))
