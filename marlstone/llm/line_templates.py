@@ -6,7 +6,8 @@ turn may be variable, so that lines that differ within one field come under one
 in `min_docs` documents or more is boilerplate: its lines are dropped from all documents but the first (least
 doc_id), which keeps one copy of what is said, even where whole documents are copies of each other.
 
-Lines of fewer than `least` tokens are left alone. Tokens stand between single blanks. A row counts as a document;
+Lines of fewer than `least` tokens are left alone. Tokens stand between single blanks; with `every_line` (the
+pipeline's way; SQL has the other) between runs of any white space, and each line that has a token has templates. A row counts as a document;
 repeats within a row count once. Rows of equal doc_id and text have equal results. A null doc_id is never first; a
 template seen under null ids alone is kept. Null text stays null, a document may become empty, and no row goes.
 Only hashes are shuffled for the counts (two of 64 bits for each template), never lines.
@@ -22,12 +23,17 @@ from .common import written
 LEADING, FIELDS, LEAST, MIN_DOCS = 3, 4, 3, 3
 
 
-def _templates(text: Column) -> Column:
+#: Unicode's white space, and tokens between it.
+BLANK = r"(?U)\s+"
+
+
+def _templates(text: Column, every_line: bool = False) -> Column:
     """For each line, hashes (h, g) of its templates: as it is and, if long enough, with each field variable.
 
     Every step is a transform of its own, so that what it gives is computed once and not once for each use.
     """
-    lines = F.transform(F.split(F.regexp_replace(text, "[0-9]+", "0"), "\n"), lambda line: F.split(line, " "))
+    lines = F.transform(F.split(F.regexp_replace(text, "[0-9]+", "0"), "\n"), lambda line: F.array_remove(F.split(line, BLANK), "") if every_line else F.split(line, " "))
+    least = 1 if every_line else LEAST
 
     def node(w: Column) -> Column:
         n = F.size(w)
@@ -45,15 +51,15 @@ def _templates(text: Column) -> Column:
         fields = [t[f"f{k}"] for k in range(FIELDS)]
         whole = F.array(of(-1, fields))
         open_ = F.array(of(-1, fields), *[of(k, fields[:k] + fields[k + 1 :]) for k in range(FIELDS)])
-        return F.when(t["n"] < LEAST, F.slice(whole, 1, 0)).when(t["n"] < LEADING + 2 * FIELDS, whole).otherwise(open_)
+        return F.when(t["n"] < least, F.slice(whole, 1, 0)).when(t["n"] < LEADING + 2 * FIELDS, whole).otherwise(open_)
 
     return F.transform(F.transform(lines, node), templates)
 
 
-def dropped_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_docs: int = MIN_DOCS) -> DataFrame:
+def dropped_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_docs: int = MIN_DOCS, every_line: bool = False) -> DataFrame:
     """id, digest (of the text) and the positions of the lines to drop, for documents that have any."""
     rows = docs.where(F.col(f"`{text}`").isNotNull())
-    told = written(rows.select(F.col(f"`{key}`").alias("id"), F.xxhash64(f"`{text}`").alias("digest"), _templates(F.col(f"`{text}`")).alias("t")), "templates")
+    told = written(rows.select(F.col(f"`{key}`").alias("id"), F.xxhash64(f"`{text}`").alias("digest"), _templates(F.col(f"`{text}`"), every_line).alias("t")), "templates")
     seen = told.select("id", F.explode(F.array_distinct(F.flatten("t"))).alias("t")).select("id", "t.*")
     common = seen.groupBy("h", "g").agg(F.count("*").alias("n"), F.min("id").alias("first")).where(F.col("n") >= min_docs).select("h", "g", "first")
     places = told.select("id", "digest", F.posexplode("t").alias("pos", "t")).select("id", "digest", "pos", F.explode("t").alias("t")).select("id", "digest", "pos", "t.*")
@@ -61,9 +67,9 @@ def dropped_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_
     return later.groupBy("id", "digest").agg(F.collect_set("pos").alias("drop"))
 
 
-def without_templates(docs: DataFrame, key: str = "doc_id", text: str = "text", min_docs: int = MIN_DOCS, counts: bool = False) -> DataFrame:
+def without_templates(docs: DataFrame, key: str = "doc_id", text: str = "text", min_docs: int = MIN_DOCS, counts: bool = False, every_line: bool = False) -> DataFrame:
     """The documents without the dropped lines; with counts, also n_lines and n_dropped."""
-    lost = dropped_lines(docs, key, text, min_docs)
+    lost = dropped_lines(docs, key, text, min_docs, every_line)
     d, x = docs.alias("d"), lost.alias("x")
     both = d.join(x, F.col(f"d.`{key}`").eqNullSafe(F.col("x.id")) & (F.xxhash64(F.col(f"d.`{text}`")) == F.col("x.digest")), "left")
     lines = F.split(F.col(f"d.`{text}`"), "\n")

@@ -71,3 +71,13 @@ def test_very_long_documents(spark):
     docs = spark.createDataFrame([(i, text) for i in range(4)], "doc_id bigint, text string")
     got = {r.doc_id: r.text for r in lt.without_templates(docs).collect()}
     assert got == {0: text, 1: "", 2: "", 3: ""}
+
+
+def test_every_line(spark):
+    """Lines of one or two tokens, and of words parted by other white space than blanks, are boilerplate too."""
+    lines = ["Menu", "Read more", "全ての権利は留保されています", "one\ttwo\tthree", "four\u00a0five\u3000six"]
+    rows = [(i, "\n".join([*lines, "", " \t", f"own {chr(97 + i)}"])) for i in range(4)]
+    docs = spark.createDataFrame([*rows, (9, "one two  three\nfour five six\nread More"), (10, None)], "doc_id bigint, text string")
+    got = {r.doc_id: r.text for r in lt.without_templates(docs, every_line=True).collect()}
+    assert got == {0: rows[0][1], **{i: f"\n \t\nown {chr(97 + i)}" for i in (1, 2, 3)}, 9: "read More", 10: None}
+    assert next(f for name, f in __import__("corpus_pipeline").STAGES if name == "lines")(spark, docs, "").where("doc_id = 1").first().text == got[1]
