@@ -20,8 +20,9 @@ MEMO_WORDS, MEMO_CHARS = 1_000_000, 64
 #: Marks that may end a word of Latin letters, and the first letter beyond those.
 ENDS, LATIN = ",.;:!?", "\u0250"
 #: Normalisers that treat a text as they treat its words, and the alternatives of a piece,
-#: as they are for lower-case ASCII and in full.
+#: as they are for lower-case ASCII and in full; what added tokens must begin with, as words without it skip the search for them.
 BY_WORD = {"NFC", "Lowercase"}
+ADDED = "<|"
 PIECES_ASCII = ["'s", "'t", "'re", "'ve", "'m", "'ll", "'d", "[a-z]+", "[0-9]", "[^ a-z0-9]+"]
 PIECES = ["'s", "'t", "'re", "'ve", "'m", "'ll", "'d", r"[\p{L}]+", r"[\p{N}]", r"[^\s\p{L}\p{N}]+"]
 
@@ -39,7 +40,7 @@ def spaced(spec: dict) -> bool:
         return False
     if any(s.get("type") != "ByteLevel" or s.get("add_prefix_space") or s.get("use_regex") for s in rest):
         return False
-    if any(re.search(r"\s", t["content"]) or t["lstrip"] or t["rstrip"] or t["single_word"] for t in spec.get("added_tokens", [])):
+    if any(not t["content"].startswith(ADDED) or re.search(r"\s", t["content"]) or t["lstrip"] or t["rstrip"] or t["single_word"] for t in spec.get("added_tokens", [])):
         return False
     if not any(s["type"] == "Lowercase" for s in steps):
         return False
@@ -56,11 +57,11 @@ class Memo(dict):
 
     def __missing__(self, word: str) -> bytes:
         parts = ()
-        if word.isascii() and word.isprintable() and "<|" not in word:
+        if word.isascii() and word.isprintable() and ADDED not in word:
             parts = self.pieces(word.lower())
             ids = [t.id for t in self.one(parts[0])] if len(parts) == 1 else []
-        elif word[-1] in ENDS and word[-2:-1].isalpha() and word[-2] < LATIN and "<|" not in word:
-            parts = (word[:-1], word[-1])  # a letter and a mark are never in one piece
+        elif word[-1] in ENDS and word[-2:-1].lower().isalpha() and word[-2] < LATIN and ADDED not in word:
+            parts = (word[:-1], word[-1])  # a letter (in lower case too: that of U+0130 ends in a combining dot) and a mark are never in one piece
         else:
             ids = self.library.encode(word, add_special_tokens=False).ids
         if len(parts) > 1:
@@ -87,7 +88,7 @@ class WordEncoder:
         if not self.by_word:
             return [np.asarray(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
         # ASCII letters may be lowered first where no added token can be meant: the vocabulary lowers them anyway
-        words = [(t.lower() if t.isascii() and "<|" not in t else t).replace("\n", " ").split(" ") for t in texts]
+        words = [(t.lower() if t.isascii() and ADDED not in t else t).replace("\n", " ").split(" ") for t in texts]
         if len(self.memo) > MEMO_WORDS:  # what came up again stays
             self.memo = Memo(self.library, {w: self.memo[w] for w in set().union(*words) if w in self.memo})
         ids = self.memo.__getitem__

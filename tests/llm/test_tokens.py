@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import json
 import random
 import zlib
 
@@ -15,7 +16,7 @@ from tokenizers import Tokenizer
 
 from marlstone.llm import byte_bpe, plane_store, token_counts
 from marlstone.llm.queries import BYTE_RANKS, WORDS
-from marlstone.llm.word_tokens import WordEncoder
+from marlstone.llm.word_tokens import ENDS, LATIN, WordEncoder, spaced
 
 RANKS = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(P.path(BYTE_RANKS), "rb"))}
 TIK = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=RANKS, special_tokens={})
@@ -58,6 +59,19 @@ def test_words_give_the_ids_of_the_text(text):
 WORD = WordEncoder(P.path(WORDS))
 
 
+def test_a_mark_after_any_letter():
+    words = [w for c in map(chr, range(0x21, ord(LATIN))) for e in ENDS for w in (c + e, "x" + c + e, c + "é" + e)]
+    want = [e.ids for e in TOK.encode_batch_fast(words, add_special_tokens=False)]
+    assert [np.frombuffer(x, "<u4").tolist() for x in WORD.encode(words)] == want
+
+
+def test_added_tokens_that_may_hide_are_refused():
+    spec = json.loads(open(P.path(WORDS)).read())
+    assert spaced(spec)
+    spec["added_tokens"][0]["content"] = "[pad]"
+    assert not spaced(spec)
+
+
 def test_other_vocabularies_get_whole_texts():
     other = WordEncoder(P.path("byte_bpe_50k.json"))
     assert not other.by_word
