@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..errors import EvolutionError
 from ..schema.model import Entity, Model
 from ..sources.store import EntityStore
+from .series import SeriesStore
 
 # The types that hold every value of a type.
 WIDER = {"int": {"long", "double"}, "long": {"double"}, "boolean": {"int", "long"}, "datetime": {"long"}}
@@ -93,9 +94,10 @@ def _diff_type(a: Entity, b: Entity) -> list[Change]:
     return out
 
 
-def apply(store: EntityStore, old: Model, new: Model, allow_destructive: bool = False) -> Plan:
+def apply(store: EntityStore, old: Model, new: Model, allow_destructive: bool = False, series: SeriesStore | None = None) -> Plan:
     """Rewrites the tables that change; refuses to lose data unless that is allowed.
 
+    The points of a dropped type or series are gone too: a later one of that name starts empty.
     A narrowed column keeps what its new type can hold; the rest becomes null.
     """
     plan = diff(old, new)
@@ -111,7 +113,7 @@ def apply(store: EntityStore, old: Model, new: Model, allow_destructive: bool =
             store.rename(was.table, e.table)
             store.forget()
         if {c.column: c.type for c in e.stored} != {c.column: c.type for c in was.stored} and store.exists(e.table):
-            held = store.spark.read.schema(was.physical).parquet(store._current(e.table))
+            held = store.rows(was, store.log(e.table).version(), e.table)
             cells = []
             for f in e.stored:
                 if f.column not in columns:
@@ -125,5 +127,8 @@ def apply(store: EntityStore, old: Model, new: Model, allow_destructive: bool =
     for e in old.concrete:
         if e.name not in {x.name for x in new.concrete} and e.name not in store.bindings and store.exists(e.table):
             store.drop(e.table)
+    if series is not None:
+        after = {e.name: e for e in new.concrete}
+        series.drop([(e.name, f.name) for e in old.concrete for f in e.fields.values() if f.kind == "timeseries" and (e.name not in after or f.name not in after[e.name] or after[e.name][f.name].kind != "timeseries")])
     store.forget()
     return plan

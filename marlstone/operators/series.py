@@ -1,13 +1,12 @@
 """Append-only series: open points as Parquet batches, sealed points as compressed segments.
 
-A small manifest names the batches and segment tables that count; it moves only when all of an append or flush is
-written. Appends must not go back in time for their key, within a batch or across batches; equal times keep their
+A log of small manifests names the batches and segment tables that count; it moves only when all of an append or flush is
+written, and of two writers that began from one version the second is refused. Appends must not go back in time for their key, within a batch or across batches; equal times keep their
 order. Sealing sorts by range over (series, time), so that one long series is the work of many tasks.
 """
 
 from __future__ import annotations
 
-import json
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -23,7 +22,7 @@ from pyspark.sql import types as T
 from ..errors import QueryError, StoreError
 from ..functions.predicates import instant, seconds
 from ..schema.model import Entity, Field
-from ..sources.store import EntityStore
+from ..sources.store import EntityStore, Log
 from . import codec
 
 _OF = [("type", T.StringType()), ("field", T.StringType()), ("key", T.StringType())]
@@ -59,21 +58,40 @@ class SeriesStore:
     def root(self) -> str:
         return f"{self.store.root}/_series"
 
+    @property
+    def log(self) -> Log:
+        return Log(self.store.files, f"{self.root}/log")
+
     def _manifest(self) -> dict[str, Any]:
-        if self.store._root is None or not self.store.files.exists(f"{self.root}/MANIFEST"):
-            return {"next": 0, "points": [], "segments": []}
-        return json.loads(self.store.files.read(f"{self.root}/MANIFEST"))
+        """since: where the points of a series begin that was dropped before; streams: their last batch."""
+        version = 0 if self.store._root is None else self.log.version()
+        return {"version": version, "next": 0, "points": [], "segments": [], "since": {}, "streams": {}, **(self.log.read(version) if version else {})}
+
+    def _commit(self, manifest: dict[str, Any]) -> None:
+        self.log.commit(manifest["version"], {k: v for k, v in manifest.items() if k != "version"})
 
-    def _open(self, kind: str, schema: T.StructType, folders: list[str]) -> DataFrame:
+    def _open(self, kind: str, schema: T.StructType, manifest: dict[str, Any]) -> DataFrame:
+        folders = manifest[kind]
         if not folders:
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(*[f"{self.root}/{kind}/{f}" for f in folders])
+        df = self.spark.read.schema(schema).parquet(*[f"{self.root}/{kind}/{f}" for f in folders])
+        seq = "seq" if kind == "points" else "first_seq"
+        for (type_, field, n) in manifest["since"].values():
+            df = df.where(~((F.col("type") == type_) & (F.col("field") == field) & (F.col(seq) < n)))
+        return df
 
     def open_points(self) -> DataFrame:
-        return self._open("points", POINTS, self._manifest()["points"])
+        return self._open("points", POINTS, self._manifest())
 
     def segments(self) -> DataFrame:
-        return self._open("segments", SEGMENTS, self._manifest()["segments"])
+        return self._open("segments", SEGMENTS, self._manifest())
+
+    def drop(self, names: list[tuple[str, str]]) -> None:
+        """Points that the series of these types and fields have now don't count any more."""
+        manifest = self._manifest()
+        if names and manifest["version"]:
+            manifest["since"].update({f"{t}.{f}": [t, f, manifest["next"]] for t, f in names})
+            self._commit(manifest)
 
     # reading
 
@@ -91,7 +109,7 @@ class SeriesStore:
         if bound:
             return self._bound(bound, kind, start, end, key)
         manifest = self._manifest()
-        own = self._open("points", POINTS, manifest["points"]).where((F.col("type") == entity.name) & (F.col("field") == f.name))
+        own = self._open("points", POINTS, manifest).where((F.col("type") == entity.name) & (F.col("field") == f.name))
         sealed = self.overlapping(entity, f, start, end)
         if key is not None:
             own, sealed = own.where(F.col("key") == str(key)), sealed.where(F.col("key") == str(key))
@@ -121,8 +139,21 @@ class SeriesStore:
 
     # writing
 
-    def append(self, entity: Entity, f: Field, rows: DataFrame | list[tuple[Any, int, float]]) -> None:
-        """rows: key, ts, value, in the order of arrival; with a DataFrame, of its partitions and their rows."""
+    def latest(self, entity: Entity, f: Field) -> DataFrame:
+        """key (as text) and the last time it holds, from the segments' bounds and the open points."""
+        held = self.open_points().where((F.col("type") == entity.name) & (F.col("field") == f.name)).select("key", F.col("ts").alias("last"))
+        held = held.unionByName(self.overlapping(entity, f).select("key", F.col("max_ts").alias("last")))
+        return held.groupBy("key").agg(F.max("last").alias("last"))
+
+    def seen(self, stream: str) -> int:
+        """The last batch of a stream that was appended, -1 if none."""
+        return self._manifest()["streams"].get(stream, -1)
+
+    def append(self, entity: Entity, f: Field, rows: DataFrame | list[tuple[Any, int, float]], stream: tuple[str, int] | None = None) -> None:
+        """rows: key, ts, value, in the order of arrival; with a DataFrame, of its partitions and their rows.
+
+        stream: the name and batch number that are recorded with it.
+        """
         if (entity.name, f.name) in self.bindings:
             raise StoreError(f"{entity.name}.{f.name} is bound to a source that can't be written")
         manifest = self._manifest()
@@ -144,7 +175,9 @@ class SeriesStore:
             return
         manifest["points"].append(folder)
         manifest["next"] = last + 1
-        self.store.files.write(f"{self.root}/MANIFEST", json.dumps(manifest))
+        if stream:
+            manifest["streams"][stream[0]] = stream[1]
+        self._commit(manifest)
 
     def _refuse_disorder(self, entity: Entity, f: Field, batch: DataFrame) -> None:
         # in order of arrival, a point isn't before the latest of those before it: first within blocks of arrivals, so
@@ -159,9 +192,7 @@ class SeriesStore:
         if found:
             raise StoreError(f"{entity.name}.{f.name} of {found[0]['key']!r}: {found[0]['ts']} comes after {found[0]['before']}")
         first = batch.groupBy("key").agg(F.min("ts").alias("ts"))
-        held = self.open_points().where((F.col("type") == entity.name) & (F.col("field") == f.name)).select("key", F.col("ts").alias("last"))
-        held = held.unionByName(self.segments().where((F.col("type") == entity.name) & (F.col("field") == f.name)).select("key", F.col("max_ts").alias("last")))
-        back = first.join(held.groupBy("key").agg(F.max("last").alias("last")), "key").where("ts < last").limit(1).collect()
+        back = first.join(self.latest(entity, f), "key").where("ts < last").limit(1).collect()
         if back:
             raise StoreError(f"{entity.name}.{f.name} of {back[0]['key']!r}: {back[0]['ts']} comes after {back[0]['last']}")
 
@@ -174,7 +205,7 @@ class SeriesStore:
         self.encoded(self.open_points()).write.parquet(f"{self.root}/segments/{folder}")
         manifest["points"] = []
         manifest["segments"].append(folder)
-        self.store.files.write(f"{self.root}/MANIFEST", json.dumps(manifest))
+        self._commit(manifest)
 
     def encoded(self, points: DataFrame) -> DataFrame:
         return encode_segments(points, self.segment_points)
@@ -191,7 +222,6 @@ class SeriesStore:
 def encode_segments(points: DataFrame, segment_points: int) -> DataFrame:
     """POINTS rows as SEGMENTS rows of at most segment_points each."""
     order = ["type", "field", "key", "ts", "seq"]
-    n = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def seal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
@@ -225,7 +255,7 @@ def encode_segments(points: DataFrame, segment_points: int) -> DataFrame:
         if held is not None:
             yield from made(cut(held, True)[0])
 
-    return points.select(POINTS.names).repartitionByRange(n, *order).sortWithinPartitions(*order).mapInArrow(seal, SEGMENTS)
+    return points.select(POINTS.names).repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(seal, SEGMENTS)
 
 
 def _decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -127,9 +127,14 @@ class Planner:
     # building
 
     def fetch(self, entity: Entity, filter: str | None = None, include: list[str] | None = None, order: Any = None, limit: int | None = None, offset: int | None = None, window: tuple | None = None, columns: list[str] | None = None, observe: bool = False) -> tuple[DataFrame, PlanReport]:
-        """observe: count the rows that the root gives and those of the result, in the same pass."""
+        """observe: count the rows that the root gives and those of the result, in the same pass.
+
+        columns: own fields; "site.name" reads that field (and keys) only of the rows included at `site`.
+        """
         tree = include_tree(include)
         self.check_tree(entity, tree)
+        only = self._child_columns(tree, columns)
+        columns = None if columns is None else [c for c in columns if "." not in c]
         keys = parse_order(entity, order)
         for what, n in (("limit", limit), ("offset", offset)):
             if n is not None and (isinstance(n, bool) or not isinstance(n, int) or n < 0):
@@ -150,13 +155,27 @@ class Planner:
             df = (df.offset(offset) if offset else df).limit(limit)
         stored = df.columns
         # rows that a filter alone has chosen can be asked for twice: once to say which children are needed
-        df = self.expand(df, entity, tree, window, report, narrow=own is not None and rest is None and limit is None)
+        df = self.expand(df, entity, tree, window, report, narrow=own is not None and rest is None and limit is None, only=only)
         if tree and keys:
             df = df.orderBy(*keys)
         if columns is not None:
             df = df.select([c for c in df.columns if c not in stored or c == "id" or c in columns])
         return report.watch("result", df) if observe else df, report
 
+    @staticmethod
+    def _child_columns(tree: dict[str, dict], columns: list[str] | None) -> dict[tuple, list[str]]:
+        out: dict[tuple, list[str]] = {}
+        for c in columns or []:
+            *path, name = c.split(".")
+            below = tree
+            for part in path:
+                if part not in below:
+                    raise QueryError(f"{c!r} isn't of an included row")
+                below = below[part]
+            if path:
+                out.setdefault(tuple(path), []).append(name)
+        return out
+
     @staticmethod
     def _order_names(order: Any) -> list[str]:
         return [s.removeprefix("-") if isinstance(s, str) else s[0] for s in ([order] if isinstance(order, str) else order or [])]
@@ -183,8 +202,11 @@ class Planner:
 
         return wide.where(P.compile_filter(node, find, null_safe=True)).drop(*names.values())
 
-    def expand(self, df: DataFrame, entity: Entity, tree: dict[str, dict], window: tuple | None, report: PlanReport, names: dict[str, str] | None = None, narrow: bool = False) -> DataFrame:
-        """narrow: df's rows are few, so children are cut down to theirs before they are grouped."""
+    def expand(self, df: DataFrame, entity: Entity, tree: dict[str, dict], window: tuple | None, report: PlanReport, names: dict[str, str] | None = None, narrow: bool = False, only: dict | None = None, at: tuple = ()) -> DataFrame:
+        """narrow: df's rows are few, so children are cut down to theirs before they are grouped.
+
+        only: of the included rows at a path, the fields to read; `at` is the path of df's own rows.
+        """
         rows = df
         for name, below in tree.items():
             f, column = entity[name], (names or {}).get(name, name)
@@ -193,10 +215,10 @@ class Planner:
                 df = self._with_series(df, entity, f, column, window)
                 report.scans += 1
                 continue
-            # not below an abstract type, where an id's last type must be found among all rows
-            cut = narrow and f.kind == "collection" and not self.model[f.type].abstract
-            other = self.target(f.type, below, window, report, (f.keys[0], rows.select(F.col(f"`{f.keys[1]}`").alias("__needed"))) if cut else None)
-            key, value = f"__key_{column}", F.struct(*[F.col(f"`{c}`") for c in other.columns])
+            needed = (f.keys[0], rows.select(F.col(f"`{f.keys[1]}`").alias("__needed"))) if narrow and f.kind == "collection" else None
+            other = self.target(f.type, below, window, report, needed, f.kind == "reference", only, (*at, name), f.keys[0] if f.kind == "collection" else "id")
+            # children stand in the order of their ids: the struct begins with it, and so does the comparison
+            key, value = f"__key_{column}", F.struct(*[F.col(f"`{c}`") for c in sorted(other.columns, key=lambda c: c != "id")])
             if f.kind == "reference":
                 right = other.select(F.col("id").alias(key), value.alias(column))
                 local = f.keys[0]
@@ -210,19 +232,24 @@ class Planner:
                 df = df.withColumn(column, F.coalesce(F.col(f"`{column}`"), empty))
         return df
 
-    def target(self, name: str, tree: dict[str, dict], window: tuple | None, report: PlanReport, needed: tuple[str, DataFrame] | None = None) -> DataFrame:
+    def target(self, name: str, tree: dict[str, dict], window: tuple | None, report: PlanReport, needed: tuple[str, DataFrame] | None = None, one: bool = False, only: dict | None = None, at: tuple = (), key: str = "id") -> DataFrame:
         """All rows of a type, with what lies below; of an abstract type, those of its concrete ones and their name.
 
-        needed: a field and the values of it that are asked for.
+        needed: a field and the values of it that are asked for. one: a row for each id, as references want it; in a
+        collection each child stays, even where two types share an id. key: the field that the rows are joined by.
         """
         subs = self.model.concrete_of(name)
         if not subs:
             raise QueryError(f"no concrete type is a {name}")
         report.scans += len(subs)
-        frames = [self.store.logical(e, self.store.raw(e)) for e in subs]
+        asked = (only or {}).get(at)
+        frames = []
+        for e in subs:
+            some = None if asked is None else [*[c for c in asked if len(subs) == 1 or c in e], key, *self._keys(e, tree)]
+            frames.append(self.store.logical(e, self.store.raw(e), some))
         if needed is not None:
             frames = [df.join(needed[1], df[f"`{needed[0]}`"] == needed[1]["__needed"], "left_semi") for df in frames]
-        frames = [self.expand(df, e, tree, window, report, narrow=needed is not None) for e, df in zip(subs, frames)]
+        frames = [self.expand(df, e, tree, window, report, narrow=needed is not None, only=only, at=at) for e, df in zip(subs, frames)]
         if not self.model[name].abstract:
             return frames[0]
         kinds: dict[str, T.DataType] = {}
@@ -234,7 +261,7 @@ class Planner:
         for e, df in zip(subs, frames):
             df = df.select("id", F.lit(e.name).alias(TYPE), *[F.col(f"`{c}`") for c in df.columns if c != "id"])
             union = df if union is None else union.unionByName(df, allowMissingColumns=True)
-        if len(subs) > 1:  # one id in two types: the last type by name
+        if one and len(subs) > 1:  # one id in two types: the last type by name
             rest = [c for c in union.columns if c != "id"]
             union = union.groupBy("id").agg(F.max_by(F.struct(*[f"`{c}`" for c in rest]), TYPE).alias("__r")).select("id", "__r.*")
         return union

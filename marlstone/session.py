@@ -98,11 +98,24 @@ class EntitySet:
     # writing
 
     def _write(self, verb, rows) -> None:
-        store = self.session.store
-        old = store.logical(self.entity, store.raw(self.entity))
-        new = rows if verb is writes.remove else writes.batch(self.session.spark, self.entity, rows)
-        out = verb(self.entity, old, new)
-        store.replace(self.entity, out.select([F.col(f"`{f.name}`").alias(f.column) for f in self.entity.stored]))
+        store, entity, staged = self.session.store, self.entity, []
+        version = store.writable(entity)
+        old = store.logical(entity, store.rows(entity, version))
+
+        def stage(df: DataFrame) -> DataFrame:
+            df, path = store.staged(entity.table, df)
+            staged.append(path)
+            return df
+
+        try:
+            if verb is not writes.remove:
+                rows = writes.batch(self.session.spark, entity, rows, stage)
+            delta = verb(entity, old, rows)
+            adds = None if delta.adds is None else delta.adds.select([F.col(f"`{f.name}`").alias(f.column) for f in entity.stored])
+            store.commit(entity, version, adds, delta.gone)
+        finally:
+            for path in staged:
+                store.files.delete(path)
 
     def create(self, rows: writes.Rows) -> None:
         self._write(writes.create, rows)
@@ -169,7 +182,7 @@ class Session:
     def evolve(self, new: Model | str, allow_destructive: bool = False) -> evolve.Plan:
         """Carry out the changes to a new model; see operators.evolve."""
         new = load(new) if isinstance(new, str) else new
-        plan = evolve.apply(self.store, self.model, new, allow_destructive)
+        plan = evolve.apply(self.store, self.model, new, allow_destructive, self.series)
         self.model = new
         self.planner = Planner(new, self.store, self.series)
         self._sets.clear()

@@ -1,18 +1,22 @@
-"""Where the rows of entity types are: bound DataFrames, or snapshots that writes replace.
+"""Where the rows of entity types are: bound DataFrames, or folders of Parquet that a log names.
 
-A snapshot is a folder of Parquet below <root>/<table>/; a small pointer file names the current one. A write makes
-a new snapshot whole and only then moves the pointer, so a failed write leaves the old rows as they were.
+A write adds folders of rows and folders of removed ids below <root>/<table>/ and then one numbered file to the log,
+which lists what counts: k new rows cost k rows, however large the table is. A row counts unless a later folder has removed its
+id. A failed write leaves the log as it was, and of two writers that began from one version the second is refused.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import tempfile
 import uuid
 from dataclasses import dataclass
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..errors import QueryError, StoreError
 from ..functions.predicates import Source, seconds
@@ -60,17 +64,24 @@ class Files:
         finally:
             stream.close()
 
-    def write(self, path: str, text: str) -> None:
-        """By a rename, so that a reader sees the old text or the new."""
+    def add(self, path: str, text: str) -> bool:
+        """Whether the file could be made: not if it is there."""
         fs, p = self._at(path)
+        if fs.exists(p):
+            return False
         _, new = self._at(f"{path}.{uuid.uuid4().hex}")
         stream = fs.create(new, True)
         stream.write(bytearray(text.encode()))
         stream.close()
-        rename = getattr(self.jvm.org.apache.hadoop.fs, "Options$Rename")
-        over = self.spark.sparkContext._gateway.new_array(rename, 1)
-        over[0] = rename.OVERWRITE
-        self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(p.toUri(), self.conf).rename(new, p, over)
+        context = self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(p.toUri(), self.conf)
+        try:
+            context.rename(new, p, self.spark.sparkContext._gateway.new_array(getattr(self.jvm.org.apache.hadoop.fs, "Options$Rename"), 0))
+        except Py4JJavaError as e:
+            fs.delete(new, False)
+            if "FileAlreadyExists" in e.java_exception.toString():
+                return False
+            raise
+        return True
 
     def names(self, path: str) -> list[str]:
         fs, p = self._at(path)
@@ -81,6 +92,36 @@ class Files:
         fs.delete(p, True)
 
 
+class Log:
+    """Numbered files in a folder; the highest one holds what counts."""
+
+    def __init__(self, files: Files, folder: str):
+        self.files, self.folder = files, folder
+
+    def version(self) -> int:
+        """0 if there is none."""
+        return max((int(n[:-5]) for n in self.files.names(self.folder) if re.fullmatch(r"\d+\.json", n)), default=0)
+
+    def read(self, version: int) -> dict:
+        return json.loads(self.files.read(f"{self.folder}/{version:012}.json")) if version else {}
+
+    def commit(self, version: int, told: dict) -> None:
+        """told counts from now on, if `version` is still the latest."""
+        if self.version() != version or not self.files.add(f"{self.folder}/{version + 1:012}.json", json.dumps(told)):
+            raise StoreError(f"{self.folder} has changed meanwhile; nothing was written")
+
+    def prune(self) -> None:
+        """Drop all but the latest."""
+        last = self.version()
+        for n in self.files.names(self.folder):
+            if n != f"{last:012}.json":
+                self.files.delete(f"{self.folder}/{n}")
+
+
+#: Folders of a table beyond which a write puts them together.
+FOLDERS = 64
+
+
 class EntityStore:
     def __init__(self, spark: SparkSession, root: str | None = None, bindings: dict[str, Binding | str | DataFrame] | None = None):
         self.spark, self.files = spark, Files(spark)
@@ -113,13 +154,29 @@ class EntityStore:
             return df
         if not self.exists(entity.table):
             return self.spark.createDataFrame([], entity.physical)
-        return self.spark.read.schema(entity.physical).parquet(self._current(entity.table))
+        return self.rows(entity, self.log(entity.table).version())
 
-    def exists(self, table: str) -> bool:
-        return self._root is not None and self.files.exists(f"{self.root}/{table}/CURRENT")
+    def log(self, table: str) -> Log:
+        return Log(self.files, f"{self.root}/{table}/log")
 
-    def _current(self, table: str) -> str:
-        return f"{self.root}/{table}/{self.files.read(f'{self.root}/{table}/CURRENT').strip()}"
+    def exists(self, table: str) -> bool:
+        return self._root is not None and self.log(table).version() > 0
+
+    def rows(self, entity: Entity, version: int, table: str | None = None) -> DataFrame:
+        """What counts in a version, under physical names. Folders with the same removals behind them are one scan."""
+        at = f"{self.root}/{table or entity.table}"
+        told = self.log(table or entity.table).read(version)
+        key, groups = entity["id"].column, {}
+        for folder, n in told.get("adds", []):
+            groups.setdefault(tuple(g for g, m in told["gone"] if m > n), []).append(f"{at}/{folder}")
+        out = None
+        for gone, folders in groups.items():
+            df = self.spark.read.schema(entity.physical).parquet(*folders)
+            if gone:
+                ids = self.spark.read.schema(T.StructType([entity.physical[key]])).parquet(*[f"{at}/{g}" for g in gone])
+                df = df.join(ids.toDF("__gone"), df[f"`{key}`"] == F.col("__gone"), "left_anti")
+            out = df if out is None else out.union(df)
+        return self.spark.createDataFrame([], entity.physical) if out is None else out
 
     def source(self, entity: Entity, f: Field, raw: DataFrame | None = None) -> Source:
         """A stored field over raw rows, for conditions that should reach the scan."""
@@ -144,20 +201,63 @@ class EntityStore:
 
     # writing
 
-    def replace(self, entity: Entity, rows: DataFrame) -> None:
-        """rows: physical names, in the entity's order."""
+    def writable(self, entity: Entity) -> int:
+        """The version that a write starts from."""
         if entity.name in self.bindings:
             raise StoreError(f"{entity.name} is bound to a source that can't be written")
-        version = f"v-{uuid.uuid4().hex}"
-        rows.select([F.col(f"`{f.column}`").cast(f.spark).alias(f.column) for f in entity.stored]).write.parquet(f"{self.root}/{entity.table}/{version}")
-        self.files.write(f"{self.root}/{entity.table}/CURRENT", version)
+        return self.log(entity.table).version()
+
+    def staged(self, table: str, df: DataFrame) -> tuple[DataFrame, str]:
+        """df as files, so that it's made once, and the folder to delete afterwards."""
+        path = f"{self.root}/{table}/batch-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path), path
+
+    def _put(self, entity: Entity, rows: DataFrame) -> str:
+        """A folder of rows, which come under physical names; sorted by the first index, so that a scan by it can skip."""
+        folder = f"v-{uuid.uuid4().hex}"
+        rows = rows.select([F.col(f"`{f.column}`").cast(f.spark).alias(f.column) for f in entity.stored])
+        by = next(iter(entity.indexes().values()), (None, []))[1]
+        (rows.sortWithinPartitions(*[f"`{c}`" for c in by]) if by else rows).write.parquet(f"{self.root}/{entity.table}/{folder}")
+        return folder
+
+    def commit(self, entity: Entity, version: int, adds: DataFrame | None, gone: DataFrame | None, whole: bool = False) -> None:
+        """adds: rows under physical names; gone: ids to remove from what `version` has. whole: nothing of that stays."""
+        log, key = self.log(entity.table), entity["id"].column
+        told = {"adds": [], "gone": []} if whole or not version else log.read(version)
+        if gone is not None:
+            folder = f"g-{uuid.uuid4().hex}"
+            path = f"{self.root}/{entity.table}/{folder}"
+            gone.select(F.col(gone.columns[0]).cast(entity["id"].spark).alias(key)).write.parquet(path)
+            if self.spark.read.schema(T.StructType([entity.physical[key]])).parquet(path).isEmpty():
+                self.files.delete(path)
+            else:
+                told["gone"].append([folder, version + 1])
+        if adds is not None:
+            told["adds"].append([self._put(entity, adds), version + 1])
+        log.commit(version, told)
         self._frames.pop(entity.name, None)
+        if len(told["adds"]) + len(told["gone"]) > FOLDERS:
+            self.compact(entity)
+
+    def replace(self, entity: Entity, rows: DataFrame) -> None:
+        """rows: physical names; all that the table has from now on."""
+        self.commit(entity, self.writable(entity), rows, None, whole=True)
+
+    def compact(self, entity: Entity) -> None:
+        """Put a table's folders together."""
+        version = self.writable(entity)
+        self.commit(entity, version, self.rows(entity, version), None, whole=True)
 
     def vacuum(self, table: str) -> list[str]:
-        """Delete the snapshots of a table that are no longer current; readers that still hold them fail."""
-        old = [n for n in self.files.names(f"{self.root}/{table}") if n.startswith("v-") and n != self._current(table).rsplit("/", 1)[1]]
+        """Delete the folders of a table that no longer count; readers that still hold them fail."""
+        log = self.log(table)
+        told = log.read(log.version())
+        held = {n for n, _ in [*told.get("adds", []), *told.get("gone", [])]}
+        old = [n for n in self.files.names(f"{self.root}/{table}") if n != "log" and n not in held]
         for n in old:
             self.files.delete(f"{self.root}/{table}/{n}")
+        log.prune()
         return old
 
     def drop(self, table: str) -> None:

@@ -1,7 +1,8 @@
 """Measurements from a stream into a series (an extension: batch appends are the plain way).
 
-Each micro-batch is sorted by time and appended whole; points that are older than what their key already holds are
-late and go to `late`, if given, since a series only grows forwards.
+Each micro-batch is sorted by time and appended whole, with its number, so that one that is replayed after a failure
+isn't appended again; points that are older than what their key already holds are late and go to `late`, if given, since a
+series only grows forwards.
 """
 
 from __future__ import annotations
@@ -21,16 +22,18 @@ def ingest(session: Session, entity: str, field: str, stream: DataFrame, checkpo
     e = session.entity(entity).entity
     f = check_series(e, field)
 
-    def append(batch: DataFrame, _: int) -> None:
+    def append(batch: DataFrame, number: int) -> None:
+        if number <= session.series.seen(checkpoint):
+            return
         rows = batch.select(F.col(batch.columns[0]).alias("key"), F.col(batch.columns[1]).cast("bigint").alias("ts"), F.col(batch.columns[2]).cast("double").alias("value")).persist()
         try:
-            last = session.series.points(e, f).groupBy("key").agg(F.max("ts").alias("last"))
+            last = session.series.latest(e, f).withColumn("key", F.col("key").cast(rows.schema["key"].dataType))
             placed = rows.join(last, "key", "left")
             if late is not None:
                 late(placed.where("ts < last").select("key", "ts", "value"))
             good = placed.where("last is null or ts >= last").select("key", "ts", "value")
             n = int(session.spark.conf.get("spark.sql.shuffle.partitions"))
-            session.series.append(e, f, good.repartition(n, "key").sortWithinPartitions("key", "ts"))
+            session.series.append(e, f, good.repartition(n, "key").sortWithinPartitions("key", "ts"), (checkpoint, number))
         finally:
             rows.unpersist()
 

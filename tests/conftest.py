@@ -1,6 +1,6 @@
 import pytest
+from lending import VISITS, filled
 from pyspark.sql import SparkSession
-from tiny_model import filled
 
 
 @pytest.fixture(scope="session")
@@ -11,9 +11,10 @@ def spark():
 
 
 @pytest.fixture(scope="session")
-def tiny(spark, tmp_path_factory):
-    """Read only."""
-    ses = filled(spark, tmp_path_factory.mktemp("tiny"), segment_points=64)
-    ses["Sensor"].append_series("readings", "t1-temp", [(1000 + 10 * i, 20.0 + i) for i in range(200)])
+def library(spark, tmp_path_factory):
+    """Read only; the visits of one member are sealed, the other's open."""
+    ses = filled(spark, tmp_path_factory.mktemp("library"), segment_points=30)
+    ses["Member"].append_series("visits", 100, VISITS[100])
     ses.flush()
+    ses["Member"].append_series("visits", 103, VISITS[103])
     return ses

@@ -1,11 +1,13 @@
-"""Writes as all-or-nothing batches, and changes of model over stored rows."""
+"""Writes as all-or-nothing batches of few files, and changes of model over stored rows."""
 
 import pytest
-from tiny_model import TINY, filled
+from lending import AUTHORS, BOOKS, TEXT, filled
 
 from marlstone import EvolutionError, StoreError, connect, load
 from marlstone.operators.evolve import diff
 
+A1, A2 = AUTHORS[0], AUTHORS[1]
+
 
 def rows(ses, name):
     return {r["id"]: r for r in ses[name].fetch()}
@@ -13,57 +15,103 @@ def rows(ses, name):
 
 def test_create_is_all_or_nothing(spark, tmp_path):
     ses = filled(spark, tmp_path)
-    for bad in ([{"id": "s8"}, {"id": "s1"}], [{"id": "s8"}, {"id": "s8"}], [{"id": "s8"}, {"id": None}], [{"id": "s8"}, {"name": "x"}], [{"id": "s8", "version": 2**31}], [{"id": "s8", "version": True}], [{"id": "s8", "name": 5}]):
+    for bad in ([{"id": 8}, {"id": 1}], [{"id": 8}, {"id": 8}], [{"id": 8}, {"id": None}], [{"id": 8}, {"name": "x"}], [{"id": 2**31}], [{"id": True}], [{"id": 8, "name": 5}]):
         with pytest.raises(StoreError):
-            ses["Site"].create(bad)
+            ses["Author"].create(bad)
     with pytest.raises(StoreError):
-        ses["Turbine"].create([{"id": "t8", "serial": "new"}, {"id": "t9", "serial": "A-1"}])
-    assert len(rows(ses, "Site")) == 3 and len(rows(ses, "Turbine")) == 5
-    ses["Turbine"].create([{"id": "t8"}, {"id": "t9"}])  # null keys don't clash
-    assert rows(ses, "Turbine")["t9"]["serial"] is None
+        ses["Book"].create([{"id": 90, "isbn": "free"}, {"id": 91, "isbn": BOOKS[3]["isbn"]}])
+    assert len(rows(ses, "Author")) == len(AUTHORS) and len(rows(ses, "Book")) == len(BOOKS)
+    ses["Book"].create([{"id": 90}, {"id": 91}])  # null keys don't clash
+    assert rows(ses, "Book")[91] == {"id": 91, "isbn": None, "authorId": None, "genre": "unsorted", "price": None, "pages": 1}
 
 
 def test_upsert(spark, tmp_path):
     ses = filled(spark, tmp_path)
-    ses["Site"].upsert([{"id": "s1", "name": "Early"}, {"id": "s1", "name": "Late", "region": None, "version": 9}, {"id": "s4", "name": None}])
-    got = rows(ses, "Site")
-    assert got["s1"] == {"id": "s1", "version": 9, "name": "Late", "region": None}
-    assert got["s4"] == {"id": "s4", "version": 1, "name": None, "region": None} and got["s2"]["name"] == "Bravo"
-    ses["Site"].upsert({"id": "s2", "version": None})
-    assert rows(ses, "Site")["s2"] == {"id": "s2", "version": None, "name": None, "region": None}
+    ses["Author"].upsert([{"id": 1, "name": "Early"}, {"id": 1, "name": "Late", "land": None}, {"id": 6, "name": None}])
+    got = rows(ses, "Author")
+    assert got[1] == {"id": 1, "name": "Late", "land": None} and got[6] == {"id": 6, "name": None, "land": None} and got[2] == A2
+    ses["Book"].upsert({"id": 11, "pages": None})
+    assert rows(ses, "Book")[11] == {"id": 11, "isbn": None, "authorId": None, "genre": "unsorted", "price": None, "pages": None}
     with pytest.raises(StoreError):
-        ses["Turbine"].upsert({"id": "t1", "serial": "A-2"})
-    assert rows(ses, "Turbine")["t1"]["serial"] == "A-1"
+        ses["Book"].upsert({"id": 12, "isbn": BOOKS[5]["isbn"]})
+    assert rows(ses, "Book")[12] == BOOKS[2]
+    # an index key may move from one row of the batch to another
+    ses["Book"].upsert([{**BOOKS[2], "isbn": BOOKS[5]["isbn"]}, {**BOOKS[5], "isbn": BOOKS[2]["isbn"]}])
+    assert rows(ses, "Book")[12]["isbn"] == BOOKS[5]["isbn"] and len(rows(ses, "Book")) == len(BOOKS)
 
 
 def test_merge(spark, tmp_path):
     ses = filled(spark, tmp_path)
-    ses["Site"].merge([{"id": "s1", "name": None, "region": "west", "version": None}, {"id": "s3", "name": "A", "version": 5}, {"id": "s3", "name": "B", "version": None}, {"id": "new"}, {"id": "nil", "version": None}])
-    got = rows(ses, "Site")
-    assert got["s1"] == {"id": "s1", "version": 1, "name": "Alpha", "region": "west"}
-    assert got["s3"] == {"id": "s3", "version": 5, "name": "B", "region": "north"}
-    assert got["new"]["version"] == 1 and got["nil"]["version"] is None and len(got) == 5
+    ses["Author"].merge([{"id": 1, "name": None, "land": "fr"}, {"id": 3, "name": "A", "land": "it"}, {"id": 3, "name": "B", "land": None}, {"id": 50}])
+    got = rows(ses, "Author")
+    assert got[1] == {**A1, "land": "fr"} and got[3] == {"id": 3, "name": "B", "land": "it"} and got[50] == {"id": 50, "name": None, "land": None} and len(got) == len(AUTHORS) + 1
+    ses["Book"].merge([{"id": 70}, {"id": 71, "pages": None}])
+    assert rows(ses, "Book")[70]["pages"] == 1 and rows(ses, "Book")[71]["pages"] is None
     with pytest.raises(StoreError):
-        ses["Turbine"].merge({"id": "t1", "serial": "A-2"})
+        ses["Book"].merge({"id": 12, "isbn": BOOKS[5]["isbn"]})
 
 
 def test_remove_and_frames(spark, tmp_path):
     ses = filled(spark, tmp_path)
-    ses["Site"].remove(["s1", "gone"])
-    ses["Site"].remove("s2")
-    assert list(rows(ses, "Site")) == ["s3"]
-    ses["Site"].create(spark.createDataFrame([("x", "X"), ("y", "Y")], "id string, name string"))
-    assert rows(ses, "Site")["x"]["version"] == 1
+    ses["Author"].remove([1, 99])
+    ses["Author"].remove(2)
+    assert sorted(rows(ses, "Author")) == [3, 4]
+    ses["Author"].create(spark.createDataFrame([(1, "X"), (9, "Y")], "id int, name string"))  # a removed id may come again
+    assert rows(ses, "Author")[1] == {"id": 1, "name": "X", "land": None}
+    with pytest.raises(StoreError):
+        ses["Author"].create(spark.createDataFrame([(None, "X")], "id int, name string"))
+    ses["Author"].remove(spark.createDataFrame([(9,)], "id int"))
+    ses["Author"].remove([])
+    assert set(rows(connect(spark, TEXT, f"file://{tmp_path}"), "Author")) == {1, 3, 4}
+    ses.store.compact(ses.model["Author"])
+    assert len(ses.store.vacuum("author")) >= 4 and ses.store.vacuum("author") == []
+    assert set(rows(connect(spark, TEXT, f"file://{tmp_path}"), "Author")) == {1, 3, 4}
+
+
+def test_a_write_adds_few_files_and_no_old_rows(spark, tmp_path):
+    ses = filled(spark, tmp_path)
+    e = ses.model["Book"]
+    log = ses.store.log(e.table)
+    first = log.read(log.version())
+    ses["Book"].create({"id": 90, "isbn": "n"})
+    ses["Book"].merge({"id": 10, "pages": 5})
+    told = log.read(log.version())
+    new = [f for f, _ in told["adds"][1:]]
+    assert told["adds"][0] == first["adds"][0] and [spark.read.parquet(f"file://{tmp_path}/{e.table}/{f}").count() for f in new] == [1, 1] and len(told["gone"]) == 1
+    assert not [n for n in ses.store.files.names(f"file://{tmp_path}/{e.table}") if n.startswith("batch")]
+    assert any("GreaterThan(pages,300)" in x for x in ses["Book"].fetch("pages > 300").pushed_filters())
+    assert ses["Book"].get(10)["pages"] == 5 and ses["Book"].count() == len(BOOKS) + 1
+
+
+def test_folders_are_put_together(spark, tmp_path, monkeypatch):
+    from marlstone.sources import store
+
+    monkeypatch.setattr(store, "FOLDERS", 3)
+    ses = filled(spark, tmp_path)
+    for k in range(60, 64):
+        ses["Author"].upsert([{"id": k}, {"id": 1, "name": str(k)}])
+    log = ses.store.log("author")
+    told = log.read(log.version())
+    assert len(told["adds"]) + len(told["gone"]) <= 3 and len(rows(ses, "Author")) == len(AUTHORS) + 4 and rows(ses, "Author")[1]["name"] == "63"
+
+
+def test_the_second_of_two_writers_is_refused(spark, tmp_path):
+    one = filled(spark, tmp_path)
+    two = connect(spark, TEXT, f"file://{tmp_path}")
+    e = one.model["Author"]
+    version = one.store.writable(e)
+    two["Author"].create({"id": 70})
+    with pytest.raises(StoreError):
+        one.store.commit(e, version, one.store.rows(e, version), None, whole=True)
+    one["Author"].create({"id": 71})
+    assert {70, 71} <= set(rows(one, "Author"))
+    manifest = one.series._manifest()
+    two["Member"].append_series("visits", 100, [(1, 1.0)])
     with pytest.raises(StoreError):
-        ses["Site"].create(spark.createDataFrame([(None, "X")], "id string, name string"))
-    ses["Site"].remove(spark.createDataFrame([("x",)], "id string"))
-    assert set(rows(connect(spark, TINY, f"file://{tmp_path}"), "Site")) == {"s3", "y"}
-    ses["Site"].remove([])
-    assert len(ses.store.vacuum("site")) >= 5 and ses.store.vacuum("site") == []
-    assert set(rows(connect(spark, TINY, f"file://{tmp_path}"), "Site")) == {"s3", "y"}
+        one.series._commit(manifest)
 
 
-BASE = "entity type Site { id: string, name: string, region: string }"
+BASE = "entity type Shelf { id: string, label: string, room: string }"
 
 
 @pytest.mark.parametrize(
@@ -71,14 +119,14 @@ BASE = "entity type Site { id: string, name: string, region: string }"
     [
         (BASE, [], True),
         (BASE + " entity type T { id: string }", ["create_type"], True),
-        ("entity type Site { id: string, name: string, region: string, kw: double = 0.0 }", ["add_column"], True),
-        ("entity type Site { id: string, name: string }", ["drop_column"], False),
+        ("entity type Shelf { id: string, label: string, room: string, metres: double = 2.5 }", ["add_column"], True),
+        ("entity type Shelf { id: string, label: string }", ["drop_column"], False),
         ("entity type Other { id: string }", ["create_type", "drop_type"], False),
-        ('entity type Site schema name "S" { id: string, name: string, region: string }', ["rename_table"], False),
-        ('@db(index="name") entity type Site { id: string, name: string, region: string }', ["add_index"], True),
-        ('entity type Site { id: string, label: string schema name "name", region: string }', [], True),
-        ('entity type Site { id: string, name: string schema name "n2", region: string }', ["add_column", "drop_column"], False),
-        ("entity type Site { id: string, name: string, region: string = \"x\" }", [], True),
+        ('entity type Shelf schema name "SHELVES" { id: string, label: string, room: string }', ["rename_table"], False),
+        ('@db(index="label") entity type Shelf { id: string, label: string, room: string }', ["add_index"], True),
+        ('entity type Shelf { id: string, tag: string schema name "label", room: string }', [], True),
+        ('entity type Shelf { id: string, label: string schema name "l2", room: string }', ["add_column", "drop_column"], False),
+        ("entity type Shelf { id: string, label: string, room: string = \"x\" }", [], True),
     ],
 )
 def test_diff(text, kinds, safe):
@@ -110,3 +158,5 @@ def test_evolve(spark, tmp_path):
     ses.evolve('entity type E schema name "renamed" { id: string, n: long, kw: double } entity type New { id: string }')
     assert ses["E"].get("a")["n"] == 1 and ses["E"].fetch().df.schema["n"].dataType.simpleString() == "bigint"
     assert ses.evolve(ses.model).is_empty
+    ses["E"].merge({"id": "a", "kw": 2.0})
+    assert ses["E"].get("a") == {"id": "a", "n": 1, "kw": 2.0} and len(rows(ses, "E")) == 3

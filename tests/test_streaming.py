@@ -1,25 +1,34 @@
 """A stream of files into a series, and windowed sums."""
 
-from tiny_model import filled
+from lending import filled
 
 from marlstone.streaming.ingest import ingest, windowed
 
 
 def test_ingest(spark, tmp_path):
-    ses = filled(spark, tmp_path / "store")
+    ses = filled(spark, tmp_path / "store", segment_points=2)
     src = tmp_path / "src"
     late = []
-    schema = "key string, ts bigint, value double"
+    schema = "member int, ts bigint, value double"
 
     def run(rows):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"file://{src}")
-        q = ingest(ses, "Sensor", "readings", spark.readStream.schema(schema).parquet(f"file://{src}"), f"file://{tmp_path}/ckpt", lambda df: late.extend(df.collect()))
+        q = ingest(ses, "Member", "visits", spark.readStream.schema(schema).parquet(f"file://{src}"), f"file://{tmp_path}/ckpt", lambda df: late.extend(df.collect()))
         assert q.awaitTermination(120) and q.exception() is None
 
-    run([("t1-temp", 20, 2.0), ("t1-temp", 10, 1.0), ("t1-vib", 5, 0.5)])
-    run([("t1-temp", 15, 9.0), ("t1-temp", 20, 3.0), ("t1-temp", 30, 4.0)])
-    assert [tuple(r) for r in ses["Sensor"].series("readings", "t1-temp").collect()] == [(10, 1.0), (20, 2.0), (20, 3.0), (30, 4.0)]
-    assert [tuple(r) for r in late] == [("t1-temp", 15, 9.0)]
+    def held(k):
+        return [tuple(r) for r in ses["Member"].series("visits", k).collect()]
+
+    run([(100, 70, 2.0), (100, 60, 1.0), (104, 5, 0.5)])
+    ses.flush()
+    run([(100, 66, 9.0), (100, 70, 3.0), (100, 80, 4.0)])
+    want = [(60, 1.0), (70, 2.0), (70, 3.0), (80, 4.0)]
+    assert held(100) == want and [tuple(r) for r in late] == [(100, 66, 9.0)]
+    # a batch whose append succeeded but whose end wasn't noted comes again, and isn't appended twice
+    (tmp_path / "ckpt/commits/1").unlink()
+    (tmp_path / "ckpt/commits/.1.crc").unlink(missing_ok=True)
+    run([(104, 6, 1.5)])
+    assert held(100) == want and held(104) == [(5, 0.5), (6, 1.5)] and len(late) == 1
 
 
 def test_windowed(spark, tmp_path):
