@@ -277,11 +277,17 @@ class Planner:
 
 
 def pushed_filters(df: DataFrame) -> list[str]:
-    """The conditions that the physical plan's file scans evaluate."""
-    import re
-
-    plan = df._jdf.queryExecution().executedPlan().toString()
-    return [x for x in re.findall(r"PushedFilters: \[([^\]]*)\]", plan) if x]
+    """The conditions that the physical plan's file scans evaluate, one text for each scan."""
+    plan = df._jdf.queryExecution().executedPlan()
+    if plan.getClass().getSimpleName() == "AdaptiveSparkPlanExec":
+        plan = plan.inputPlan()
+    leaves, out = plan.collectLeaves(), []
+    for k in range(leaves.size()):
+        if leaves.apply(k).getClass().getSimpleName() == "FileSourceScanExec":
+            told = leaves.apply(k).metadata().get("PushedFilters")
+            if told.isDefined() and told.get() != "[]":
+                out.append(told.get()[1:-1])
+    return out
 
 
 def absent_dropped(value: Any, model: Model) -> Any:

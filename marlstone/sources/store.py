@@ -276,3 +276,6 @@ class EntityStore:
 
     def columns(self, entity: Entity) -> list[str]:
         return [f.column for f in entity.stored]
+
+    def index_names(self, entity: Entity) -> list[str]:
+        return sorted(entity.indexes())
