@@ -29,6 +29,48 @@ def test_blocks_and_noise():
     assert text('<article><p title="a > b">x</p><p title="broken>y</p></article>').startswith("x")
 
 
+ARTICLE = f"<h1>Head</h1>{BODY * 5}"
+WANT = "Head\n" + "\n".join([PLAIN] * 5)
+
+
+def test_names_that_only_look_like_noise():
+    for mark in ("class='post category-notices'", "class='post comments-open'", "class='content no-ads'", "data-id='banner-story'", "data-title='The hidden city'", "class='banner-story'", "title='a class=ad thing'", "class='page has-menu with-comments'", "id=address"):
+        for tag in ("article", "div"):
+            assert text(page(f"<{tag} {mark}>{ARTICLE}</{tag}>")) == WANT, mark
+    # a name that is noise, on nearly all that the page says
+    for open_ in ("<form id=aspnet>", "<div class='notice'>", "<div class='main promo'>", "<aside>", "<form><div class=sidebar>"):
+        assert text(page(f"<p>by us</p>{open_}<div>{ARTICLE}</div>").replace("<p>by us</p>", "")) == WANT, open_
+    # the same names beside an article are noise, also with site prefixes, tails or no hyphen
+    for name in ("notice", "cookie-notice", "xy-sidebar", "sidebarBox", "share-buttons", "adslot", "relatedLinks", "page-header", "ad-top", "site-footer", "commentlist", "comments-area", "navList"):
+        for tag in ("div", "section", "ol"):
+            assert text(page(f"<main>{ARTICLE}<{tag} class='{name}'><div><p>Not of the article, but quite long.</p></div></{tag}></main>")) == WANT, name
+    long = "<p>I don't agree, and here is why, at length.</p>" * 200
+    assert text(page(f"<div class=post>{ARTICLE}</div><section id='comments'>{long}</section>")) == WANT
+    assert text(page(f"<main>{ARTICLE}<ol class='commentlist'><li>{long}</ol></main>")) == WANT
+    assert text(page(f"<div class=story><div class='story-header'><div><h1>Head</h1><p>by me</p></div></div>{BODY * 5}</div>")) == WANT
+    assert text(page(f"<article><svg class=x viewBox='0 0 1 1'/>{ARTICLE}<svg><text>no</text></svg></article>")) == WANT
+
+
+def test_deep_and_open_elements_take_linear_time():
+    import time
+
+    for one in ("<tr><td>cell ", "<div>x ", "<section></div>", "<div class='a b'><table>", "<form>", "<td>y"):
+        began = time.perf_counter()
+        html_text.text_of(*html_text.parse("<table>" + one * 60_000), [">table>tbody"])
+        assert time.perf_counter() - began < 10, one
+    rows = text("<table>" + "<tr><td>cell" * 60_000)
+    assert rows == "\n".join(["cell"] * 60_000)
+    nodes, _ = html_text.parse("<table><tr><td>a<td>b<tr><td>c</table>")
+    assert [html_text.path_of(nodes, k) for k in range(1, len(nodes))] == [">table", ">table>tr", ">table>tr>td", ">table>tr>td", ">table>tr", ">table>tr>td"]
+
+
+def test_paths_without_text_are_passed_over():
+    body = f"<div class=gate></div><div class='story post-17 category-x'>{ARTICLE}</div>"
+    assert text(page(body), [">html>body>div.gate", ">html>body>div.story"]) == WANT
+    assert text(page(body), [">html>body>div.gate"]) == WANT
+    assert html_text.described("class='story-2 category-x B9b' id=\"k\"")[0] == ("bb", "story")
+
+
 def test_consensus_over_a_host(spark):
     usual = page(f"<div class='wrap-12'><div class='box'><p>{'Box text that every page has in plenty. ' * 3}</p></div><div class='story-1'><h1>Head</h1>{BODY * 20}</div></div>")
     odd = page(f"<div class='wrap-7'><div class='box'><p>{'A box that is far larger than the story on this page. ' * 40}</p></div><div class='story-2'><p>Short.</p></div></div>")
