@@ -28,10 +28,12 @@ from .common import plain_text, sliced, written
 from .components import components, forest
 
 SEED, BITS = 42, 64
-#: near_copies: bits that candidates may differ in, seeds of their fingerprints, bins in a sketch of shingles.
-NEAR_BITS, NEAR_SEEDS, SKETCH = 6, (42, 43), 256
+#: near_copies: bits that first candidates may differ in, bins in a sketch of shingles.
+NEAR_BITS, SKETCH = 3, 256
 #: Shingles counted at once; children of a node; rows of a top node beyond which it is split; node pairs at once.
 STEP, FAN, HOT, PAIRS = 1 << 16, 16, 20_000, 8192
+#: How often a top node is split. It leaves 19 bits open then at radius 2 (22 at 3), so it can't hold more than 2 to that power distinct ones.
+DEPTH = 2
 #: One of so many fingerprints is counted to tell which top nodes are large.
 HOT_SHARE = 16
 #: Texts in which shingles are counted to tell the common ones, and how many of them make a shingle common.
@@ -172,15 +174,15 @@ class GrayIndex:
         return tuple(np.concatenate(c) for c in zip(*out)) if out else (np.zeros(0, np.int64),) * 3
 
 
-def links(nodes: DataFrame, radius: int, shared: int = 1, hot: int = HOT, depth: int = 2) -> DataFrame:
-    """a, b, differ: edges that connect what differs in at most `radius` bits. nodes: node (bigint, distinct), fp, in the shared folder."""
+def links(nodes: DataFrame, radius: int, shared: int = 1, hot: int = HOT) -> DataFrame:
+    """a, b, differ: edges that connect what differs in at most `radius` bits. nodes: node (bigint) and fp, both distinct, in the shared folder."""
     spark = nodes.sparkSession
     masks = top_masks(radius, shared)
     rows = nodes.select("node", "fp", F.explode(F.array(*[F.lit(signed(m)) for m in masks])).alias("mask"))
     parts = []
-    for level in range(depth + 1):
+    for level in range(DEPTH + 1):
         rows = rows.withColumn("pattern", F.col("fp").bitwiseAND(F.col("mask")))
-        if level == depth:
+        if level == DEPTH:
             parts.append(rows)
             break
         # which top nodes are split decides the work only, never what is found: a share of the rows tells them well enough
@@ -262,20 +264,18 @@ def prefix(keys: np.ndarray, common: np.ndarray, similarity: float) -> np.ndarra
     return np.concatenate([keys[~last], keys[last]])[: len(keys) - max(1, least) + 1]
 
 
-def sketched(text: str, size: int) -> tuple[bytes, list[int], bytes, bytes]:
-    """A digest of the words, fingerprints of the set of words by NEAR_SEEDS, a sketch of the shingles in SKETCH bytes, and their hashes in order."""
+def sketched(text: str, size: int) -> tuple[bytes, int, bytes, bytes]:
+    """A digest of the words, a fingerprint of the set of words, a sketch of the shingles in SKETCH bytes, and their hashes in order."""
     words = words_of(text)
     one = xxhash.xxh3_128_digest(b" ".join(words))
     distinct = set(words)
-    fps = []
-    for seed in NEAR_SEEDS:
-        h = np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in distinct), np.uint64, len(distinct))
-        seen = sum((np.unpackbits(h[k : k + STEP].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64) for k in range(0, len(h), STEP)), np.zeros(BITS, np.int64))
-        fps.append(int(np.packbits(2 * seen > len(h), bitorder="little").view("<i8")[0]))
+    h = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in distinct), np.uint64, len(distinct))
+    seen = sum((np.unpackbits(h[k : k + STEP].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64) for k in range(0, len(h), STEP)), np.zeros(BITS, np.int64))
+    fp = int(np.packbits(2 * seen > len(h), bitorder="little").view("<i8")[0])
     h = np.unique(np.fromiter(map(xxhash.xxh32_intdigest, shingles(words, size)), np.uint32))
     least = np.full(SKETCH, 2**32, np.uint64)
     np.minimum.at(least, h % SKETCH, (h // SKETCH).astype(np.uint64))
-    return one, fps, np.where(least < 2**32, 1 + least % 255, 0).astype(np.uint8).tobytes(), h.tobytes()
+    return one, fp, np.where(least < 2**32, 1 + least % 255, 0).astype(np.uint8).tobytes(), h.tobytes()
 
 
 def alike(a: bytes, b: bytes) -> float:
@@ -293,8 +293,22 @@ def shared(a: bytes, b: bytes) -> float:
 
 
 def _row(key: str, text: str):
-    """A digest of key and text, as a Column."""
-    return F.xxhash64(F.col(f"`{key}`"), F.coalesce(F.col(f"`{text}`"), F.lit("")))
+    """Two digests of key and text, 128 bits together, as a Column of structs."""
+    of = (F.col(f"`{key}`"), F.coalesce(F.col(f"`{text}`"), F.lit("")))
+    return F.struct(F.xxhash64(*of).alias("a"), F.xxhash64(F.lit("b"), *of).alias("b"))
+
+
+def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (fp, node), sorted: pairs of rows that follow each other with one fp."""
+    last = None
+    for batch in batches:
+        if batch.num_rows:
+            fp, node = (batch.column(c).to_numpy() for c in range(2))
+            if last is not None:
+                fp, node = np.r_[last[0], fp], np.r_[last[1], node]
+            same = np.flatnonzero(fp[1:] == fp[:-1])
+            yield pa.RecordBatch.from_arrays([pa.array(node[same]), pa.array(node[same + 1])], ["a", "b"])
+            last = fp[-1:], node[-1:]
 
 
 def whole_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
@@ -360,30 +374,32 @@ def near_copies(docs: DataFrame, size: int = 5, similarity: float = 0.8, key: st
     """key and component_id of each document: groups of texts that share `similarity` of their shingles.
 
     At that similarity the fingerprints of shingles differ in ten bits or so, which no index can search; those of
-    the sets of words differ in few. So the index finds the first candidates by two fingerprints of word sets. Sketches of the
+    the sets of words differ in few. So the index finds the first candidates by a fingerprint of the word set, ten rows for each
+    distinct one. Sketches of the
     shingles tell the clear edges, and all shingles of both texts the others. What that leaves apart is found by
     prefix keys: two texts at that similarity share one whatever the edit was. Round by round, pairs that stand
     further apart in the group of a key are looked at, up to the largest group; a pair is passed over only if its
-    ends are joined by edges that were verified. Equal words are one text.
+    ends are joined by edges that were verified. Equal words (by 128 bits of their hash) are one text.
     """
     own, placed = _grouped(docs, size, similarity, key, text)
     ids = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    return own.select(key, "node").join(placed.join(ids, "root").select("node", "component_id"), "node").select(key, "component_id")
+    return own.select("key", "node").join(placed.join(ids, "root").select("node", "component_id"), "node").select(F.col("key").alias(key), "component_id")
 
 
 def _grouped(docs: DataFrame, size: int, similarity: float, key: str, text: str) -> tuple[DataFrame, DataFrame]:
-    """Of each row its key, row (see _row) and node (a text); of each node its least key and root, equal in one group."""
-    source = plain_text(docs.withColumn("__row", _row(key, text)), key, "__row", text=text)
-    kind = source.schema[key].dataType.simpleString()
+    """Of each row its key, row and row2 (see _row) and node (a text); of each node its least key and root, equal in one group."""
+    rows = docs.select(F.col(f"`{key}`").alias("key"), _row(key, text).alias("row"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
+    source = rows.select("key", F.col("row.a").alias("row"), F.col("row.b").alias("row2"), "text")
+    kind = source.schema["key"].dataType.simpleString()
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, 2):
-            texts = batch.column(2).to_pylist()
+        for batch in sliced(batches, 3):
+            texts = batch.column(3).to_pylist()
             told = [sketched(t, size) for t in texts]
             keys = [shingle_keys(words_of(t), size) for t in texts]
-            one = np.frombuffer(b"".join(t[0] for t in told), np.int64).reshape(-1, 2)[:, 0]
-            fps = [pa.array([t[1][k] for t in told], pa.int64()) for k in range(len(NEAR_SEEDS))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.ascontiguousarray(one)), *fps, *(pa.array([t[c] for t in told], pa.binary()) for c in (2, 3)), pa.array([len(k) for k in keys], pa.int32()), pa.array([prefix(k, common, similarity).tobytes() for k in keys], pa.binary())], [key, "row", "node", *(f"fp{k}" for k in range(len(NEAR_SEEDS))), "sketch", "shingles", "n", "keys"])
+            one = np.frombuffer(b"".join(t[0] for t in told), np.int64).reshape(-1, 2)
+            digests = [pa.array(np.ascontiguousarray(one[:, k])) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), *digests, pa.array([t[1] for t in told], pa.int64()), *(pa.array([t[c] for t in told], pa.binary()) for c in (2, 3)), pa.array([len(k) for k in keys], pa.int32()), pa.array([prefix(k, common, similarity).tobytes() for k in keys], pa.binary())], ["key", "row", "row2", "node", "more", "fp", "sketch", "shingles", "n", "keys"])
 
     rate = max(1, docs.count() // TOLD)
 
@@ -393,23 +409,26 @@ def _grouped(docs: DataFrame, size: int, similarity: float, key: str, text: str)
                 yield pa.RecordBatch.from_arrays([pa.array(shingle_keys(words_of(t), size).view(np.int64))], ["key"])
 
     # which shingles are common decides the work only, never what is found; so many texts, whatever the number of documents
-    some = source.where(F.pmod("__row", F.lit(rate)) == 0).select("__row", "text").mapInArrow(tell, "key bigint")
+    some = source.where(F.pmod("row", F.lit(rate)) == 0).select("row", "text").mapInArrow(tell, "key bigint")
     usual = some.groupBy("key").count().where(F.col("count") >= COMMON).select("key").toArrow()
     common = np.sort(usual.column(0).to_numpy().view(np.uint64))
-    seeds = range(len(NEAR_SEEDS))
-    own = written(source.mapInArrow(make, f"`{key}` {kind}, row bigint, node bigint, {', '.join(f'fp{k} bigint' for k in seeds)}, sketch binary, shingles binary, n int, keys binary"), "sketches")
-    nodes = written(own.groupBy("node").agg(F.min(key).alias("least"), *[F.min(f"fp{k}").alias(f"fp{k}") for k in seeds]), "nodes")
-    found = None
-    for k in seeds:
-        more = links(nodes.select("node", F.col(f"fp{k}").alias("fp")), NEAR_BITS, shared=2).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        found = more if found is None else found.union(more)
-    found = written(found.distinct(), "candidates")
+    own = written(source.mapInArrow(make, f"key {kind}, row bigint, row2 bigint, node bigint, more bigint, fp bigint, sketch binary, shingles binary, n int, keys binary"), "sketches")
+    nodes = written(own.groupBy("node").agg(F.min("key").alias("least"), F.min("fp").alias("fp"), (F.min("more") != F.max("more")).alias("clash")), "nodes")
+    clash = written(nodes.where("clash").select("node", "clash"), "clash")
+    if not clash.isEmpty():  # texts that share half of a digest get nodes of their own
+        own = written(own.join(clash, "node", "left").withColumn("node", F.when(F.col("clash"), F.xxhash64("node", "more")).otherwise(F.col("node"))).drop("clash"), "sketches")
+        nodes = written(own.groupBy("node").agg(F.min("key").alias("least"), F.min("fp").alias("fp")), "nodes")
+    first = written(nodes.groupBy("fp").agg(F.min("node").alias("node")).select("node", "fp"), "fingerprints")
+    found = links(first, NEAR_BITS, shared=2).select("a", "b")
+    # texts of one fingerprint form a chain in the order of their nodes; where it's cut between tasks, prefix keys find the link
+    chain = nodes.select("fp", "node").repartitionByRange("fp", "node").sortWithinPartitions("fp", "node").mapInArrow(neighbours, "a bigint, b bigint")
+    found = written(found.union(chain).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
 
     def judged(edges: DataFrame, column: str, judge) -> DataFrame:
         """a, b and the verdict of judge on the column of both ends."""
         # of the copies of a text only the first is looked for, so that they don't meet in one task
         ends = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "least"), "node").toDF("end", "least")
-        of = own.select("node", F.col(f"`{key}`").alias("key"), column)
+        of = own.select("node", "key", column)
         held = of.join(ends, (F.col("node") == F.col("end")) & F.col("key").eqNullSafe(F.col("least")), "left_semi")
         held = written(held.select("node", column).dropDuplicates(["node"]), "ends")
         pairs = edges.join(held.toDF("a", "x"), "a").join(held.toDF("b", "y"), "b").select("a", "b", "x", "y")
@@ -441,7 +460,7 @@ def _grouped(docs: DataFrame, size: int, similarity: float, key: str, text: str)
         return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key").sortWithinPartitions("key", "node")
 
     # one row of each text is enough; rows that repeat the least key go with the others
-    ones = own.select(F.col(f"`{key}`").alias("key"), "node", "keys", "n").join(nodes.select(F.col("node").alias("end"), "least"), (F.col("node") == F.col("end")) & F.col("key").eqNullSafe(F.col("least")), "left_semi")
+    ones = own.select("key", "node", "keys", "n").join(nodes.select(F.col("node").alias("end"), "least"), (F.col("node") == F.col("end")) & F.col("key").eqNullSafe(F.col("least")), "left_semi")
     flat = ones.select("node", "keys", "n").mapInArrow(spread, "key bigint, node bigint, pos int, n int")
     keyed = written(by_key(flat).mapInArrow(shared_keys, flat.schema), "keyed")
     largest = keyed.groupBy("key").count().agg(F.max("count")).first()[0] or 1
@@ -462,8 +481,8 @@ def one_of_each(docs: DataFrame, size: int = 5, similarity: float = 0.8, key: st
     Rows of equal key and text are one row. A key stays in several rows if its texts are of different groups.
     """
     own, placed = _grouped(docs, size, similarity, key, text)
-    first = own.join(placed.select("node", "root"), "node").groupBy("root").agg(F.min(F.struct(F.col(f"`{key}`").isNull().alias("none"), F.col(f"`{key}`").alias("key"), "row")).alias("first"))
-    first = written(first.select(F.col("first.row").alias("__first")), "first")
-    rows = docs.withColumn("__row", _row(key, text))
+    first = own.join(placed.select("node", "root"), "node").groupBy("root").agg(F.min(F.struct(F.col("key").isNull().alias("none"), "key", "row", "row2")).alias("first"))
+    first = written(first.select(F.col("first.row").alias("__a"), F.col("first.row2").alias("__b")), "first")
+    rows = docs.withColumn("__row", _row(key, text)).withColumns({"__row1": F.col("__row.a"), "__row2": F.col("__row.b")}).drop("__row")
     # the join and the removal of repeats share one shuffle of the documents
-    return rows.join(first, F.col("__row") == F.col("__first"), "left_semi").dropDuplicates(["__row"]).drop("__row")
+    return rows.join(first, (F.col("__row1") == F.col("__a")) & (F.col("__row2") == F.col("__b")), "left_semi").dropDuplicates(["__row1", "__row2"]).drop("__row1", "__row2")

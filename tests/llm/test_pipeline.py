@@ -185,3 +185,44 @@ def test_contiguous_edits_against_brute_force(spark):
     got = {r.doc_id: r.component_id for r in simhash.near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()}
     true = [shares(texts[k], texts[k + 1]) >= 0.8 for k in range(0, len(texts), 2)]
     assert sum(true) > 45 and all(got[2 * k + 1] == (2 * k if near else 2 * k + 1) for k, near in enumerate(true))
+
+
+def test_given_documents_against_brute_force(spark):
+    """All pairs that share 0.8 of their shingles, through a plain inverted index of all shingles: recall and precision of the groups."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    sets = {r.doc_id: frozenset(simhash.shingles(simhash.words_of(r.text or ""), 5)) for r in docs.collect()}
+    where = {}
+    for k, told in sets.items():
+        for g in told:
+            where.setdefault(g, []).append(k)
+    label = {k: k for k in sets}
+
+    def top(k):
+        while label[k] != k:
+            label[k] = k = label[label[k]]
+        return k
+
+    true = 0
+    for k, told in sets.items():
+        both = {}
+        for g in told:
+            for j in where[g]:
+                if j < k:
+                    both[j] = both.get(j, 0) + 1
+        for j, n in both.items():
+            if n >= 0.8 * (len(told) + len(sets[j]) - n):
+                true += 1
+                a, b = sorted((top(j), top(k)))
+                label[b] = a
+    assert true > 20
+    got = {r.doc_id: r.component_id for r in simhash.near_copies(docs).collect()}
+    assert got == {k: top(k) for k in sets}
+
+
+def test_neighbours_of_one_fingerprint():
+    import pyarrow as pa
+
+    fps, nodes = [1, 1, 1, 2, 3, 3, 3, 3], list(range(10, 18))
+    for cut in range(len(fps)):
+        parts = [pa.RecordBatch.from_arrays([pa.array(f, pa.int64()), pa.array(n, pa.int64())], ["fp", "node"]) for f, n in ((fps[:cut], nodes[:cut]), (fps[cut:], nodes[cut:]))]
+        assert [tuple(r.values()) for b in simhash.neighbours(iter(parts)) for r in b.to_pylist()] == [(10, 11), (11, 12), (14, 15), (15, 16), (16, 17)]

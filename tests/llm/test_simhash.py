@@ -68,7 +68,7 @@ def test_index_finds_all_links(radius):
 
 
 @pytest.mark.parametrize("hot", [20, 10**9])
-@pytest.mark.parametrize("radius, shared", [(2, 1), (6, 2)])
+@pytest.mark.parametrize("radius, shared", [(2, 1), (3, 2), (6, 2)])
 def test_links_over_groups(spark, radius, shared, hot):
     rng = random.Random(5)
     fps = sorted({simhash.signed(x) for _ in range(4) for x in near(rng.getrandbits(64), 4, 120, rng)} | {simhash.signed(rng.getrandbits(64)) for _ in range(300)})
