@@ -1,15 +1,18 @@
 """Line dedup by a log-template tree, in DataFrame functions only (operator 10).
 
 The tree has a fixed depth: a line's number of tokens, its leading tokens, then its template. Runs of digits are
-variable always. The tokens after the leading ones are cut into fields; besides the line as it is, each field in
-turn may be variable, so that lines that differ within one field come under one template. A template that stands
-in `min_docs` documents or more is boilerplate: its lines are dropped from all documents but the first (least
+variable always. Each line that has a token has the template of itself; besides it,
+
+- from LONG tokens on, the tokens after the leading ones are cut into fields, and each field in turn may be variable;
+- in shorter lines, each token after the first may be, if four others are left (Drain's rule that most of a line is fixed), and
+  so may be all names at once: runs of capitalised tokens after the first, if two tokens are left.
+
+A template that stands in `min_docs` documents or more is boilerplate: its lines are dropped from all documents but the first (least
 doc_id), which keeps one copy of what is said, even where whole documents are copies of each other.
 
-Lines of fewer than `least` tokens are left alone. Tokens stand between single blanks; with `every_line` (the
-pipeline's way; SQL has the other) between runs of any white space, and each line that has a token has templates. A row counts as a document;
+Tokens stand between runs of any white space. A row counts as a document;
 repeats within a row count once. Rows of equal doc_id and text have equal results. A null doc_id is never first; a
-template seen under null ids alone is kept. Null text stays null, a document may become empty, and no row goes.
+template seen under null ids alone is kept. Lines without a token stay. Null text stays null, a document may become empty, and no row goes.
 Only hashes are shuffled for the counts (two of 64 bits for each template), never lines.
 """
 
@@ -20,46 +23,54 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-LEADING, FIELDS, LEAST, MIN_DOCS = 3, 4, 3, 3
-
+LEADING, FIELDS, MIN_DOCS = 3, 4, 3
+#: Tokens from which on a line is cut into fields; others that must be left beside a variable token, and beside names.
+LONG, BESIDE, NAMED = LEADING + 2 * FIELDS, 4, 2
 
-#: Unicode's white space, and tokens between it.
-BLANK = r"(?U)\s+"
+# Unicode's white space (without the line feed, at which lines end), and a run of capitalised tokens.
+BLANK = r"[\x{9}\x{B}-\x{D}\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
+NAME = r"^\p{Lu}"
+NAMES = r"( \p{Lu}[^ ]*)+"
+#: Stands for what is variable.
+ANY = "\x01"
 
 
-def _templates(text: Column, every_line: bool = False) -> Column:
-    """For each line, hashes (h, g) of its templates: as it is and, if long enough, with each field variable.
+def _templates(text: Column) -> Column:
+    """For each line, hashes (h, g) of its templates.
 
     Every step is a transform of its own, so that what it gives is computed once and not once for each use.
     """
-    lines = F.transform(F.split(F.regexp_replace(text, "[0-9]+", "0"), "\n"), lambda line: F.array_remove(F.split(line, BLANK), "") if every_line else F.split(line, " "))
-    least = 1 if every_line else LEAST
+    lines = F.transform(F.split(F.regexp_replace(text, "[0-9]+", "0"), "\n"), lambda line: F.array_remove(F.split(line, BLANK), ""))
+
+    def pair(mark: str, *parts: Column) -> Column:
+        return F.struct(F.xxhash64(F.lit(mark), *parts).alias("h"), F.xxhash64(*parts, F.lit(mark)).alias("g"))
 
     def node(w: Column) -> Column:
+        """The line's tokens if it is short, else hashes of its top and fields."""
         n = F.size(w)
         bound = [F.lit(LEADING), *[(LEADING + F.floor((n - LEADING) * k / FIELDS)).cast("int") for k in range(1, FIELDS)], n]
-        fields = [F.xxhash64(F.slice(w, bound[k] + 1, bound[k + 1] - bound[k])).alias(f"f{k}") for k in range(FIELDS)]
-        long = F.struct(n.alias("n"), F.xxhash64(n, F.slice(w, 1, LEADING)).alias("top"), *fields)
-        none = [F.lit(0).cast("bigint").alias(f"f{k}") for k in range(2, FIELDS)]
-        short = F.struct(n.alias("n"), n.cast("bigint").alias("top"), F.xxhash64(w).alias("f0"), F.xxhash64(F.lit(-2), w).alias("f1"), *none)
-        return F.when(n < LEADING + 2 * FIELDS, short).otherwise(long)
+        fields = [F.xxhash64(F.slice(w, bound[k] + 1, bound[k + 1] - bound[k])) for k in range(FIELDS)]
+        long = F.array(F.xxhash64(n, F.slice(w, 1, LEADING)), *fields)
+        return F.struct(F.when(n < LONG, w).alias("w"), F.when(n >= LONG, long).alias("f"))
 
     def templates(t: Column) -> Column:
-        def of(mark: int, parts: list[Column]) -> Column:
-            return F.struct(F.xxhash64(F.lit(mark), t["top"], *parts).alias("h"), F.xxhash64(*parts, t["top"], F.lit(mark)).alias("g"))
-
-        fields = [t[f"f{k}"] for k in range(FIELDS)]
-        whole = F.array(of(-1, fields))
-        open_ = F.array(of(-1, fields), *[of(k, fields[:k] + fields[k + 1 :]) for k in range(FIELDS)])
-        return F.when(t["n"] < least, F.slice(whole, 1, 0)).when(t["n"] < LEADING + 2 * FIELDS, whole).otherwise(open_)
+        top, fields = t["f"][0], [t["f"][k + 1] for k in range(FIELDS)]
+        long = F.array(pair("=", top, *fields), *[pair(str(k), top, *fields[:k], *fields[k + 1 :]) for k in range(FIELDS)])
+        w, n = t["w"], F.size(t["w"])
+        none = F.slice(F.array(pair("=", w)), 1, 0)
+        one = F.transform(F.sequence(F.lit(2), n), lambda i: pair("*", F.concat(F.slice(w, 1, i - 1), F.array(F.lit(ANY)), F.slice(w, i + 1, n))))
+        names = F.size(F.filter(F.slice(w, 2, n), lambda x: x.rlike(NAME)))
+        named = F.array(pair("N", F.regexp_replace(F.array_join(w, " "), NAMES, " " + ANY)))
+        short = F.concat(F.array(pair("=", w)), F.when(n > BESIDE, one).otherwise(none), F.when((names > 0) & (n - names >= NAMED), named).otherwise(none))
+        return F.when(t["f"].isNotNull(), long).when(n == 0, none).otherwise(short)
 
     return F.transform(F.transform(lines, node), templates)
 
 
-def dropped_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_docs: int = MIN_DOCS, every_line: bool = False) -> DataFrame:
+def dropped_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_docs: int = MIN_DOCS) -> DataFrame:
     """id, digest (of the text) and the positions of the lines to drop, for documents that have any."""
     rows = docs.where(F.col(f"`{text}`").isNotNull())
-    told = written(rows.select(F.col(f"`{key}`").alias("id"), F.xxhash64(f"`{text}`").alias("digest"), _templates(F.col(f"`{text}`"), every_line).alias("t")), "templates")
+    told = written(rows.select(F.col(f"`{key}`").alias("id"), F.xxhash64(f"`{text}`").alias("digest"), _templates(F.col(f"`{text}`")).alias("t")), "templates")
     seen = told.select("id", F.explode(F.array_distinct(F.flatten("t"))).alias("t")).select("id", "t.*")
     common = seen.groupBy("h", "g").agg(F.count("*").alias("n"), F.min("id").alias("first")).where(F.col("n") >= min_docs).select("h", "g", "first")
     places = told.select("id", "digest", F.posexplode("t").alias("pos", "t")).select("id", "digest", "pos", F.explode("t").alias("t")).select("id", "digest", "pos", "t.*")
@@ -67,9 +78,9 @@ def dropped_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_
     return later.groupBy("id", "digest").agg(F.collect_set("pos").alias("drop"))
 
 
-def without_templates(docs: DataFrame, key: str = "doc_id", text: str = "text", min_docs: int = MIN_DOCS, counts: bool = False, every_line: bool = False) -> DataFrame:
+def without_templates(docs: DataFrame, key: str = "doc_id", text: str = "text", min_docs: int = MIN_DOCS, counts: bool = False) -> DataFrame:
     """The documents without the dropped lines; with counts, also n_lines and n_dropped."""
-    lost = dropped_lines(docs, key, text, min_docs, every_line)
+    lost = dropped_lines(docs, key, text, min_docs)
     d, x = docs.alias("d"), lost.alias("x")
     both = d.join(x, F.col(f"d.`{key}`").eqNullSafe(F.col("x.id")) & (F.xxhash64(F.col(f"d.`{text}`")) == F.col("x.digest")), "left")
     lines = F.split(F.col(f"d.`{text}`"), "\n")
@@ -84,11 +95,14 @@ def without_templates(docs: DataFrame, key: str = "doc_id", text: str = "text",
 #: The same over DuckDB's `documents`, with templates as strings.
 SQL = f"""
 WITH told AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents WHERE text IS NOT NULL),
-cut AS (SELECT doc_id, text, pos, string_split(regexp_replace(line, '[0-9]+', '0', 'g'), ' ') AS w FROM told),
-field AS (SELECT doc_id, text, pos, w, len(w) AS n, list_slice(w, 1, {LEADING}) AS lead,
-  [list_slice(w, ({LEADING} + (len(w) - {LEADING}) * k // {FIELDS} + 1)::BIGINT, ({LEADING} + (len(w) - {LEADING}) * (k + 1) // {FIELDS})::BIGINT) FOR k IN range({FIELDS})] AS f FROM cut WHERE len(w) >= {LEAST}),
-template AS (SELECT doc_id, text, pos, unnest(CASE WHEN n - {LEADING} < {2 * FIELDS} THEN [to_json([n::VARCHAR, w::VARCHAR])]
-  ELSE list_concat([to_json([n::VARCHAR, lead::VARCHAR, f::VARCHAR])], [to_json([n::VARCHAR, lead::VARCHAR, k::VARCHAR, [CASE WHEN j - 1 = k THEN NULL ELSE f[j] END FOR j IN range(1, {FIELDS} + 1)]::VARCHAR]) FOR k IN range({FIELDS})]) END) AS t FROM field),
+cut AS (SELECT doc_id, text, pos, list_filter(regexp_split_to_array(regexp_replace(line, '[0-9]+', '0', 'g'), '{BLANK}'), lambda x: x <> '') AS w FROM told),
+field AS (SELECT doc_id, text, pos, w, len(w) AS n, list_slice(w, 1, {LEADING}) AS lead, len(list_filter(w[2:], lambda x: regexp_matches(x, '{NAME}'))) AS names,
+  [list_slice(w, ({LEADING} + (len(w) - {LEADING}) * k // {FIELDS} + 1)::BIGINT, ({LEADING} + (len(w) - {LEADING}) * (k + 1) // {FIELDS})::BIGINT) FOR k IN range({FIELDS})] AS f FROM cut WHERE len(w) >= 1),
+template AS (SELECT doc_id, text, pos, unnest(CASE
+  WHEN n >= {LONG} THEN list_concat([to_json([n::VARCHAR, lead::VARCHAR, f::VARCHAR])], [to_json([n::VARCHAR, lead::VARCHAR, k::VARCHAR, [CASE WHEN j - 1 = k THEN NULL ELSE f[j] END FOR j IN range(1, {FIELDS} + 1)]::VARCHAR]) FOR k IN range({FIELDS})])
+  ELSE list_concat([to_json(['=', w::VARCHAR])],
+    CASE WHEN n > {BESIDE} THEN [to_json(['*', list_concat(w[1:i - 1], [chr(1)], w[i + 1:])::VARCHAR]) FOR i IN range(2, n + 1)] ELSE [] END,
+    CASE WHEN names > 0 AND n - names >= {NAMED} THEN [to_json(['N', regexp_replace(array_to_string(w, ' '), '{NAMES}', ' ' || chr(1), 'g')])] ELSE [] END) END) AS t FROM field),
 common AS (SELECT t, min(doc_id) AS first FROM (SELECT DISTINCT doc_id, text, t FROM template) GROUP BY t HAVING count(*) >= {MIN_DOCS}),
 lost AS (SELECT DISTINCT doc_id, text, pos FROM template JOIN common USING (t) WHERE doc_id > first),
 kept AS (SELECT t.doc_id, t.text, count(*) AS n_lines, count(l.pos) AS n_dropped, coalesce(string_agg(t.line, chr(10) ORDER BY t.pos) FILTER (WHERE l.pos IS NULL), '') AS left_text

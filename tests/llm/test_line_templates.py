@@ -10,14 +10,18 @@ from marlstone.llm import line_templates as lt
 
 
 def templates(line):
-    w = re.sub("[0-9]+", "0", line).split(" ")
+    w = re.sub("[0-9]+", "0", line).split()
     n, m = len(w), len(w) - lt.LEADING
-    if n < lt.LEAST:
-        return []
-    if m < 2 * lt.FIELDS:
-        return [tuple(w)]
-    f = [tuple(w[lt.LEADING + m * k // lt.FIELDS : lt.LEADING + m * (k + 1) // lt.FIELDS]) for k in range(lt.FIELDS)]
-    return [(n, tuple(w[: lt.LEADING]), tuple(None if j == k else f[j] for j in range(lt.FIELDS))) for k in (-1, *range(lt.FIELDS))]
+    if n >= 11:
+        f = [tuple(w[lt.LEADING + m * k // lt.FIELDS : lt.LEADING + m * (k + 1) // lt.FIELDS]) for k in range(lt.FIELDS)]
+        return [(n, tuple(w[: lt.LEADING]), tuple(None if j == k else f[j] for j in range(lt.FIELDS))) for k in (-1, *range(lt.FIELDS))]
+    out = [tuple(w)] if w else []
+    if n >= 5:
+        out += [(*w[:k], None, *w[k + 1 :]) for k in range(1, n)]
+    names = [k for k in range(1, n) if w[k][0].isupper()]
+    if names and n - len(names) >= 2:
+        out.append(("N", *(None if k in names else x for k, x in enumerate(w) if k not in names or k - 1 not in names)))
+    return out
 
 
 def slow(rows, min_docs):
@@ -42,7 +46,7 @@ def slow(rows, min_docs):
 def test_against_brute_force(spark, min_docs):
     rng = random.Random(min_docs)
     long = [" ".join(rng.choices("abcdefgh", k=rng.randint(10, 30))) for _ in range(6)]
-    pool = [*long, "All rights reserved.", "page 12 of 30", "page 7 of 9", "", "two words", "same  blanks here", "x"]
+    pool = [*long, "All rights reserved.", "page 12 of 30", "page 7 of 9", "", "two words", "same  blanks here", "x", "Share this page with Anna Lee now", "by Bob", "Posted by Ed on Monday", "tabs\tand\u00a0more of them here"]
     rows = [(1, None), (2, ""), (None, "All rights reserved."), (3, "\n\n"), (3, "\n\n"), (4, "\n".join(pool * 2))]
     for i in range(5, 60):
         lines = []
@@ -78,6 +82,15 @@ def test_every_line(spark):
     lines = ["Menu", "Read more", "全ての権利は留保されています", "one\ttwo\tthree", "four\u00a0five\u3000six"]
     rows = [(i, "\n".join([*lines, "", " \t", f"own {chr(97 + i)}"])) for i in range(4)]
     docs = spark.createDataFrame([*rows, (9, "one two  three\nfour five six\nread More"), (10, None)], "doc_id bigint, text string")
-    got = {r.doc_id: r.text for r in lt.without_templates(docs, every_line=True).collect()}
+    got = {r.doc_id: r.text for r in lt.without_templates(docs).collect()}
     assert got == {0: rows[0][1], **{i: f"\n \t\nown {chr(97 + i)}" for i in (1, 2, 3)}, 9: "read More", 10: None}
     assert next(f for name, f in __import__("corpus_pipeline").STAGES if name == "lines")(spark, docs, "").where("doc_id = 1").first().text == got[1]
+
+
+def test_short_boilerplate_with_variable_fields(spark):
+    people = ["Anna", "Bob Lee", "Émile de Q", "Xi"]
+    rows = [(i, f"Share this story with {p.split()[0]}\nPosted by {p} on {d} 12\nthe price of {x} rose again today\nI saw {x}\nown {x}") for i, (p, d, x) in enumerate(zip(people, ["Monday", "Friday", "Sunday", "Monday"], ["oil", "tea", "rye", "tin"]))]
+    got = {r.doc_id: r.text for r in lt.without_templates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got[0] == rows[0][1] and got[1] == "I saw tea\nown tea" and got[3] == "I saw tin\nown tin"
+    # "Émile de Q" has a word between its names: a template of its own
+    assert got[2] == "Posted by Émile de Q on Sunday 12\nI saw rye\nown rye"
