@@ -10,54 +10,73 @@ import pytest
 from marlstone.llm import ppm
 
 
-def plain_bits(train, text, model):
-    """Method C with exclusion, one symbol after another."""
-    size, order = model.size, ppm.ORDER
+def plain_bits(train, text):
+    """Method C with exclusion, one byte after another; also the sum of the probabilities of all bytes at each place."""
+    order = ppm.ORDER
     pad = b" " * order
-    seq = [int(model.symbol[b]) for b in pad + pad.join(train)]
+    seq = pad + pad.join(train)
     counts = {}
-    for k in range(order + 1):
-        for i in range(k, len(seq)):
-            counts.setdefault(tuple(seq[i - k : i]), {}).setdefault(seq[i], 0)
-            counts[tuple(seq[i - k : i])][seq[i]] += 1
+    for i in range(order, len(seq)):
+        for k in range(order + 1):
+            own = counts.setdefault(seq[i - k : i], {})
+            own[seq[i]] = own.get(seq[i], 0) + 1
 
     def p(context):
         if context is None:
-            return [1 / size] * size
+            return [1 / 256] * 256
         lower = p(context[1:] if context else None)
         own = counts.get(context)
         if not own:
             return lower
         total, kinds = sum(own.values()), len(own)
-        if kinds == size:
-            return [own[s] / total for s in range(size)]
         left = 1 - sum(lower[s] for s in own)
-        return [own[s] / (total + kinds) if s in own else kinds / (total + kinds) * lower[s] / left for s in range(size)]
+        return [own[s] / (total + kinds) if s in own else kinds / (total + kinds) * lower[s] / left for s in range(256)]
 
     raw = pad + text
-    told = [int(model.symbol[b]) for b in raw]
-    return sum(-math.log2(p(tuple(told[i - order : i]))[told[i]]) + float(model.extra[raw[i]]) for i in range(order, len(raw)))
+    told = [p(raw[i - order : i]) for i in range(order, len(raw))]
+    assert all(abs(sum(x) - 1) < 1e-9 for x in told)
+    return sum(-math.log2(x[b]) for x, b in zip(told, text))
 
 
 def test_lengths_are_those_of_a_plain_coder():
     rng = random.Random(1)
-    train = {k: ["".join(rng.choices(k + "abc  ", k=rng.randint(1, 60))).encode() for _ in range(20)] for k in ("xy", "zé")}
-    model = ppm.fit(train, symbols=9)
-    texts = [b"", b"x", "zéz ab".encode(), b"q!", *("".join(rng.choices("xyzéabcq ", k=40)).encode() for _ in range(10))]
+    train = {k: ["".join(rng.choices(k + "abc  ", k=rng.randint(1, 60))).encode() for _ in range(20)] for k in ("xy", "zé漢")}
+    model = ppm.fit(train)
+    texts = [b"", b"x", "zéz ab".encode(), b"q!\x00\xff", "漢漢".encode(), *("".join(rng.choices("xyzéabcq 漢", k=40)).encode() for _ in range(10))]
     got = model.lengths(texts)
     for t, row in zip(texts, got):
         for k, lang in enumerate(model.languages):
-            assert row[k] == pytest.approx(plain_bits(train[lang], t, model), rel=1e-5), (t, lang)
-    probs = np.exp2(-model.bits.astype(float)).reshape(-1, model.size, len(model.languages)).sum(1)
-    assert np.allclose(probs, 1, atol=1e-4)
+            assert row[k] == pytest.approx(plain_bits(train[lang], t), rel=1e-5), (t, lang)
 
 
 def test_long_texts_in_parts(monkeypatch):
     model = ppm.fit({"a": [b"abab" * 50], "b": [b"bbba" * 50]})
-    text = b"abbab" * 40
-    whole = model.lengths([text, b"ab", text])
-    monkeypatch.setattr(ppm, "_PART", 17)
-    assert np.allclose(model.lengths([text, b"ab", text]), whole)
+    texts = [b"abbab" * 40, b"ab", b"", b"abbab" * 40]
+    whole = model.lengths(texts)
+    for part in (1, 17, 100):
+        monkeypatch.setattr(ppm, "PART", part)
+        assert np.allclose(model.lengths(texts), whole)
+
+
+def test_a_language_is_learned_for_itself(spark):
+    """Hundreds of languages, one of a single huge document, and more than can be learned; none changes another's tree."""
+    rng = random.Random(6)
+    names = [f"l{k:03}" for k in range(300)]
+    alphabet = {x: rng.sample("abcdefghijklmnopqrstuvwxyzàéîõüßжшюя漢字仮名한글", 9) for x in names}
+    write = lambda x, n: " ".join("".join(rng.choices(alphabet[x], k=rng.randint(2, 7))) for _ in range(n))
+    rows = [(k, write(x, 150), x) for k, x in enumerate(names * 2)] + [(next(k for k in range(9010, 9100) if zlib.crc32(str(k).encode()) % 4 != 2), write("l000", 3) + " й" * 400_000, "ru"), (9002, write("l001", 30), None), (9003, None, "l002"), (9004, "", "none")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    model = ppm.learn(docs, train_bytes=20_000)
+    learned = {x for k, _, x in rows[:600] if zlib.crc32(str(k).encode()) % 4 != 2}
+    assert model.languages == sorted(learned | {"ru"})
+    probe = spark.createDataFrame([(k, write(x, 12), x) for k, x in enumerate(sorted(learned))] + [(999, "й й й", "ru")], "doc_id bigint, text string, lang string")
+    got = {r.doc_id: r.lang_pred for r in ppm.identify(probe, model).collect()}
+    assert np.mean([got[r.doc_id] == r.lang for r in probe.collect()]) > 0.97 and got[999] == "ru"
+    few = ppm.learn(docs.where("lang in ('l003', 'l004', 'ru')"), train_bytes=20_000)
+    for x in few.languages:
+        a, b = few.trees[few.languages.index(x)], model.trees[model.languages.index(x)]
+        assert all((x == y).all() for f in ("seen", "bits", "contexts", "escapes") for x, y in zip(getattr(a, f), getattr(b, f)))
+    assert ppm.learn(docs, languages=1).languages == ["ru"]
 
 
 def test_held_out_accuracy_and_edges(spark):
