@@ -329,13 +329,14 @@ def whole_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
 
 
 def shared_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, node, pos, n), sorted by key and node, without repeats, of keys that several nodes have."""
+    """Rows (key, node, pos, n), sorted by key and node, without repeats, of keys that several nodes have; many: how many."""
     for key, node, pos, n in whole_keys(batches):
         new = np.r_[True, (key[1:] != key[:-1]) | (node[1:] != node[:-1])]
         key, node, pos, n = key[new], node[new], pos[new], n[new]
-        same = key[1:] == key[:-1]
-        several = np.r_[False, same] | np.r_[same, False]
-        yield pa.RecordBatch.from_arrays([pa.array(c[several]) for c in (key, node, pos, n)], ["key", "node", "pos", "n"])
+        group = np.cumsum(np.r_[False, key[1:] != key[:-1]])
+        many = np.bincount(group)[group].astype(np.int32)
+        several = many > 1
+        yield pa.RecordBatch.from_arrays([pa.array(c[several]) for c in (key, node, pos, n, many)], ["key", "node", "pos", "n", "many"])
 
 
 def pairs_within(low: int, high: int, similarity: float):
@@ -426,11 +427,8 @@ def _grouped(docs: DataFrame, size: int, similarity: float, key: str, text: str)
 
     def judged(edges: DataFrame, column: str, judge) -> DataFrame:
         """a, b and the verdict of judge on the column of both ends."""
-        # of the copies of a text only the first is looked for, so that they don't meet in one task
-        ends = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "least"), "node").toDF("end", "least")
-        of = own.select("node", "key", column)
-        held = of.join(ends, (F.col("node") == F.col("end")) & F.col("key").eqNullSafe(F.col("least")), "left_semi")
-        held = written(held.select("node", column).dropDuplicates(["node"]), "ends")
+        ends = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        held = written(told.select("node", column).join(ends, "node", "left_semi"), "ends")
         pairs = edges.join(held.toDF("a", "x"), "a").join(held.toDF("b", "y"), "b").select("a", "b", "x", "y")
 
         def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -459,19 +457,26 @@ def _grouped(docs: DataFrame, size: int, similarity: float, key: str, text: str)
     def by_key(rows: DataFrame) -> DataFrame:
         return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key").sortWithinPartitions("key", "node")
 
-    # one row of each text is enough; rows that repeat the least key go with the others
+    # one row of each text is enough, its first copy, so that copies don't meet in one task; rows that repeat the least key go with the others
     ones = own.select("key", "node", "keys", "n").join(nodes.select(F.col("node").alias("end"), "least"), (F.col("node") == F.col("end")) & F.col("key").eqNullSafe(F.col("least")), "left_semi")
     flat = ones.select("node", "keys", "n").mapInArrow(spread, "key bigint, node bigint, pos int, n int")
-    keyed = written(by_key(flat).mapInArrow(shared_keys, flat.schema), "keyed")
-    largest = keyed.groupBy("key").count().agg(F.max("count")).first()[0] or 1
+    keyed = written(by_key(flat).mapInArrow(shared_keys, "key bigint, node bigint, pos int, n int, many int"), "keyed")
+    largest = keyed.agg(F.max("many")).first()[0] or 1
+    # the rounds read sketches and shingles of texts that share a key or are candidates, not those of all
+    asked = keyed.select("node").union(found.select("a")).union(found.select("b")).distinct()
+    asked = asked.join(nodes.select("node", "least"), "node").toDF("end", "least")
+    told = own.select("node", "key", "sketch", "shingles").join(asked, (F.col("node") == F.col("end")) & F.col("key").eqNullSafe(F.col("least")), "left_semi")
+    told = written(told.drop("key").dropDuplicates(["node"]), "told")
     edges, low = verified(found), 1
-    while True:
-        roots = written(components(edges), "roots")
-        if low >= largest:
-            break
-        rows = keyed.join(roots, "node", "left").select("key", "node", "pos", "n", F.coalesce("root", "node").alias("root"))
-        more = by_key(rows).mapInArrow(pairs_within(low, low * WIDER, similarity), "a bigint, b bigint")
-        edges, low = edges.union(verified(written(more.distinct(), "pairs"))), low * WIDER
+    roots = written(components(edges), "roots")
+    while low < largest:
+        # a group of `low` rows or fewer has no pair that far apart
+        rows = keyed.where(F.col("many") > low).join(roots, "node", "left").select("key", "node", "pos", "n", F.coalesce("root", "node").alias("root"))
+        pairs = written(by_key(rows).mapInArrow(pairs_within(low, low * WIDER, similarity), "a bigint, b bigint").distinct(), "pairs")
+        low *= WIDER
+        if not pairs.isEmpty() and not (new := verified(pairs)).isEmpty():
+            edges = edges.union(new)
+            roots = written(components(edges), "roots")
     return own, written(nodes.select("node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "placed")
 
 
