@@ -38,12 +38,22 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 
 def written(df: DataFrame, label: str, *by: str) -> DataFrame:
     """df as a table in the shared folder: cuts lineage, and outlives the executors that made it."""
-    path = scratch_path(df.sparkSession, label)
+    return stored(df, scratch_path(df.sparkSession, label), *by)
+
+
+def stored(df: DataFrame, path: str, *by: str) -> DataFrame:
+    """df as a table at path, see `written`."""
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(*by) if by else writer).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def removed(spark: SparkSession, path: str) -> None:
+    """Deletes a table of the shared folder that nothing reads any more."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def sliced(batches: Iterator[pa.RecordBatch], text: int, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches cut so that column `text` holds about `limit` bytes in each, or one row."""
     for batch in batches:

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import plain_text, sliced, written
+from .common import plain_text, removed, scratch_path, sliced, stored, written
 from .components import components, forest
 
 SEED, BITS = 42, 64
@@ -413,11 +413,14 @@ def _grouped(docs: DataFrame, size: int, similarity: float, key: str, text: str)
     some = source.where(F.pmod("row", F.lit(rate)) == 0).select("row", "text").mapInArrow(tell, "key bigint")
     usual = some.groupBy("key").count().where(F.col("count") >= COMMON).select("key").toArrow()
     common = np.sort(usual.column(0).to_numpy().view(np.uint64))
-    own = written(source.mapInArrow(make, f"key {kind}, row bigint, row2 bigint, node bigint, more bigint, fp bigint, sketch binary, shingles binary, n int, keys binary"), "sketches")
+    spark = docs.sparkSession
+    sketches = [scratch_path(spark, "sketches")]
+    own = stored(source.mapInArrow(make, f"key {kind}, row bigint, row2 bigint, node bigint, more bigint, fp bigint, sketch binary, shingles binary, n int, keys binary"), sketches[0])
     nodes = written(own.groupBy("node").agg(F.min("key").alias("least"), F.min("fp").alias("fp"), (F.min("more") != F.max("more")).alias("clash")), "nodes")
     clash = written(nodes.where("clash").select("node", "clash"), "clash")
     if not clash.isEmpty():  # texts that share half of a digest get nodes of their own
-        own = written(own.join(clash, "node", "left").withColumn("node", F.when(F.col("clash"), F.xxhash64("node", "more")).otherwise(F.col("node"))).drop("clash"), "sketches")
+        sketches.append(scratch_path(spark, "sketches"))
+        own = stored(own.join(clash, "node", "left").withColumn("node", F.when(F.col("clash"), F.xxhash64("node", "more")).otherwise(F.col("node"))).drop("clash"), sketches[1])
         nodes = written(own.groupBy("node").agg(F.min("key").alias("least"), F.min("fp").alias("fp")), "nodes")
     first = written(nodes.groupBy("fp").agg(F.min("node").alias("node")).select("node", "fp"), "fingerprints")
     found = links(first, NEAR_BITS, shared=2).select("a", "b")
@@ -467,6 +470,9 @@ def _grouped(docs: DataFrame, size: int, similarity: float, key: str, text: str)
     asked = asked.join(nodes.select("node", "least"), "node").toDF("end", "least")
     told = own.select("node", "key", "sketch", "shingles").join(asked, (F.col("node") == F.col("end")) & F.col("key").eqNullSafe(F.col("least")), "left_semi")
     told = written(told.drop("key").dropDuplicates(["node"]), "told")
+    own = written(own.select("key", "row", "row2", "node"), "texts")
+    for path in sketches:  # what the rounds and the result read has tables of its own
+        removed(spark, path)
     edges, low = verified(found), 1
     roots = written(components(edges), "roots")
     while low < largest:
