@@ -2,7 +2,8 @@
 
 A log of small manifests names the batches and segment tables that count; it moves only when all of an append or flush is
 written, and of two writers that began from one version the second is refused. Appends must not go back in time for their key, within a batch or across batches; equal times keep their
-order. Sealing sorts by range over (series, time), so that one long series is the work of many tasks.
+order. Sealing deals out runs of whole segments by range, so that one long series is the work of many tasks and no border
+between tasks cuts a segment.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ SEGMENTS = T.StructType([T.StructField(*c) for c in [*_OF, ("min_ts", T.LongType
 SEGMENT_POINTS = 512
 #: Arrivals whose order one window checks, as a power of two.
 BLOCK_BITS = 20
+#: Points of one key that one task seals together, and arrivals that one window numbers for it, as a power of two.
+RUN_BITS = 17
 #: Bytes that a segment's own numbers and an open point count for in the stats.
 SEGMENT_BYTES, POINT_BYTES = 32, 16
 
@@ -219,8 +222,26 @@ class SeriesStore:
         return {"series": series, "points": points, "segments": sealed[1], "encoded_bytes": size, "raw_bytes": POINT_BYTES * points, "ratio": POINT_BYTES * points / size if size else 0.0}
 
 
+def _runs(points: DataFrame, segment_points: int) -> DataFrame:
+    """points with the run of whole segments that each belongs to, counted from its key's first point; a short key is one run."""
+    of = [c for c, _ in _OF]
+    size = segment_points * max(1, (1 << RUN_BITS) // segment_points)
+    long = F.broadcast(points.groupBy(of).count().where(F.col("count") > size).select(of))
+    short = points.join(long, of, "left_anti").select(*POINTS.names, F.lit(0).cast("bigint").alias("run"))
+    # a long key's points are numbered within blocks of arrivals, after the points of its blocks before
+    blocks = points.join(long, of, "left_semi").withColumn("block", F.shiftright("seq", RUN_BITS))
+    past = F.sum("count").over(W.partitionBy(of).orderBy("block").rowsBetween(W.unboundedPreceding, -1))
+    before = blocks.groupBy(*of, "block").count().select(*of, "block", F.coalesce(past, F.lit(0)).alias("before"))
+    place = F.row_number().over(W.partitionBy(*of, "block").orderBy("ts", "seq")) - 1
+    placed = blocks.withColumn("place", place).join(before, [*of, "block"])
+    return short.unionByName(placed.select(*POINTS.names, F.expr(f"(before + place) div {size}").alias("run")))
+
+
 def encode_segments(points: DataFrame, segment_points: int) -> DataFrame:
-    """POINTS rows as SEGMENTS rows of at most segment_points each."""
+    """POINTS rows as SEGMENTS rows of segment_points each, the last of a key of what is left.
+
+    A key's seq doesn't fall while its ts rises, as append sees to.
+    """
     order = ["type", "field", "key", "ts", "seq"]
 
     def seal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -255,7 +276,8 @@ def encode_segments(points: DataFrame, segment_points: int) -> DataFrame:
         if held is not None:
             yield from made(cut(held, True)[0])
 
-    return points.select(POINTS.names).repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(seal, SEGMENTS)
+    dealt = _runs(points.select(POINTS.names), segment_points).repartitionByRange("type", "field", "key", "run")
+    return dealt.select(POINTS.names).sortWithinPartitions(*order).mapInArrow(seal, SEGMENTS)
 
 
 def _decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -2,6 +2,7 @@
 
 import pytest
 from lending import AUTHORS, BOOKS, LOANS, MEMBERS, VISITS, author, filled, ids, land, of
+from pyspark.sql import functions as F
 
 from marlstone import QueryError, StoreError, connect
 
@@ -184,6 +185,31 @@ def test_equal_times_across_a_segment_border(spark, tmp_path):
     assert [r.value for r in ses["Member"].series("visits", 101, 6, 6).collect()] == [3.0, 4.0]
 
 
+@pytest.mark.parametrize("bits", [17, 3])
+def test_segments_are_full_whatever_the_partitions(spark, tmp_path, monkeypatch, bits):
+    from marlstone.operators import series
+
+    monkeypatch.setattr(series, "RUN_BITS", bits, raising=False)
+    own = spark.newSession()
+    own.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    own.conf.set("spark.sql.shuffle.partitions", "11")
+    ses = filled(own, tmp_path, segment_points=4)
+    # three batches; the first member has most points, times repeat
+    rows = [(100 if k % 5 else 101 + k % 3, k // 3, k / 8) for k in range(150)]
+    for batch in (rows[:70], rows[70:75], rows[75:]):
+        ses["Member"].append_series("visits", rows=batch)
+    told = {m: [(t, v) for key, t, v in rows if key == m] for m in {r[0] for r in rows}}
+    ses.flush()
+    want = [(str(m), ps[k][0], ps[k : k + 4][-1][0], len(ps[k : k + 4])) for m, ps in told.items() for k in range(0, len(ps), 4)]
+    assert sorted(tuple(r) for r in ses.series.segments().select("key", "min_ts", "max_ts", "n").collect()) == sorted(want)
+    e = ses.model["Member"]
+    for m, ps in told.items():
+        assert [(r.ts, r.value) for r in ses.series.points(e, e["visits"], key=m).orderBy("ts", "seq").collect()] == ps
+    if bits == 3:  # one key is the work of many tasks
+        points = own.createDataFrame([("Member", "visits", "7", k, 0.5, k) for k in range(90)], series.POINTS)
+        assert series.encode_segments(points, 4).select(F.spark_partition_id()).distinct().count() > 3
+
+
 def test_a_dropped_series_starts_empty(spark, tmp_path):
     ses = filled(spark, tmp_path, segment_points=3)
     points = [(k, 0.5 * k) for k in range(5)]
