@@ -5,6 +5,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from marlstone.llm import line_templates as lt
 
@@ -94,3 +95,42 @@ def test_short_boilerplate_with_variable_fields(spark):
     assert got[0] == rows[0][1] and got[1] == "I saw tea\nown tea" and got[3] == "I saw tin\nown tin"
     # "Émile de Q" has a word between its names: a template of its own
     assert got[2] == "Posted by Émile de Q on Sunday 12\nI saw rye\nown rye"
+
+
+def test_no_template_for_nothing(spark):
+    """The line itself is no template where another is there; fewer templates are hashed, written and shuffled."""
+    lines = ["", " \t", "one", "one two three four", "one two Anna four", "a b c d e", "a b Bob d e", "a b c d e f g h i j", " ".join("abcdefghijk"), " ".join("abcdefghij" * 9)]
+    docs = spark.createDataFrame([("\n".join(lines),)], "text string")
+    got = docs.select(F.transform(lt._templates(F.col("text")), lambda t: F.size(t)).alias("n")).first().n
+    assert got == [0, 0, 1, 1, 2, 4, 5, 9, lt.FIELDS, lt.FIELDS]
+
+
+def test_once(spark):
+    rows = [([[(1, 2), (1, 3)], [], [(2, 2)]],), ([[(1, 2), (1, 3)], [(1, 2), (0, 9)], [(1, 3), (1, 2)]],), ([],), ([[]],)]
+    docs = spark.createDataFrame(rows, "t array<array<struct<h: bigint, g: bigint>>>")
+    got = [sorted(map(tuple, r.t)) for r in docs.coalesce(1).select(lt._once(F.col("t")).alias("t")).collect()]
+    assert got == [[(1, 2), (1, 3), (2, 2)], [(0, 9), (1, 2), (1, 3)], [], []]
+
+
+def test_many_lines_of_one_document(spark):
+    """Work grows with the lines, not with their pairs: 40,000 lines, all unlike but for two that have a template in common."""
+    word = lambda k: "".join(chr(97 + int(c)) for c in str(k))
+    text = "\n".join([*(f"{word(k)} {word(k * 7)} {word(k * 11)} {word(k * 13)} own here" for k in range(40_000)), "so says he who knows", "so says she who knows"])
+    docs = spark.createDataFrame([(i, text) for i in range(2)] + [(2, "so says it who knows")], "doc_id bigint, text string")
+    got = {r.doc_id: r.text for r in lt.without_templates(docs).collect()}
+    assert got == {0: text, 1: text.rsplit("\n", 2)[0], 2: ""}
+
+
+@pytest.mark.parametrize("blank", [chr(k) for k in (9, 11, 12, 13, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)])
+def test_blanks(spark, blank):
+    rows = [(1, "one two three\na b c d e f g h i j k l"), (2, f"{blank}one{blank} two {blank}three{blank}\na b c d e f g h i{blank}j k {blank}l"), (3, f" one two{blank}{blank}three \na b c d{blank}e f g h i  j k l ")]
+    got = {r.doc_id: r.text for r in lt.without_templates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == {1: rows[0][1], 2: "", 3: ""}
+
+
+def test_hashes_are_of_strings_with_their_places(spark):
+    """Fields or tokens that change places, and a token that is the sign for variable ones."""
+    rows = [(1, "x a b c d"), (2, "x b a c d"), (3, "x c b a d"), (4, "y a b \x01 d e"), (5, "y a c f d e"), (6, "y a \x01 g d e"), (7, " ".join("abcddeeffgg")), (8, " ".join("abcffeeddgg")), (9, " ".join("abcggeeffdd"))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r.doc_id: r.text for r in lt.without_templates(docs, min_docs=2).collect()}
+    assert got == dict(rows) | {6: ""}
